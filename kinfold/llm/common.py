@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,22 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from `spark.checkpoint.dir`; a folder of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or _OWN_DIR
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage of `df`: a reliable checkpoint in the folder all executors share.
 
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: its lineage ends there and each row is computed once.
-
-    A plain `checkpoint()` evaluates its input twice and stores all columns uncompressed; a table keeps the
-    same recovery property (lost executors re-read files) and lets later steps prune columns.
+    That folder is the session's `spark.checkpoint.dir`; one of our own is set only where none is. Spark removes a
+    checkpoint that nothing refers to any more if `spark.cleaner.referenceTracking.cleanCheckpoints` is on.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kinfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _OWN_DIR)
+    return df.checkpoint()
 
 
 def crc_mod(column: str, modulus: int) -> Column:
@@ -91,11 +85,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SEGMENT = 1 << 22
 
 
-def _segment_words(buf: np.ndarray) -> np.ndarray:
+def _segment_words(buf: np.ndarray, lines: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = _SPACE[buf]
     word = ~space
     if not word.any():
-        return np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
+        return (none, none.astype(np.int64), none.astype(bool)) if lines else none
     first = word.copy()
     first[1:] &= space[:-1]
     kept = buf[word]
@@ -105,7 +100,12 @@ def _segment_words(buf: np.ndarray) -> np.ndarray:
     value = _BYTE[kept] * _POW[at & 4095]
     if lengths.max() > 4096:
         value *= _FAR[(at >> 12) & 4095]
-    return mix64(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * _STEP)
+    hashed = mix64(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * _STEP)
+    if not lines:
+        return hashed
+    line = np.cumsum(buf == 10)[first & word]
+    digit = np.logical_or.reduceat((kept >= 48) & (kept <= 57), starts)
+    return hashed, line, digit
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -113,16 +113,32 @@ def word_hashes(text: bytes) -> np.ndarray:
     buf = np.frombuffer(text, np.uint8)
     if buf.size <= _SEGMENT:
         return _segment_words(buf) if buf.size else np.empty(0, np.uint64)
-    parts, begin = [], 0
+    return np.concatenate([_segment_words(part) for part in _segments(buf)])
+
+
+def _segments(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """Bounded parts of a text; a word is never cut."""
+    begin = 0
     while begin < buf.size:
         end = min(buf.size, begin + _SEGMENT)
-        while end < buf.size and not _SPACE[buf[end]]:  # a word is never cut
+        while end < buf.size and not _SPACE[buf[end]]:
             step = buf[end : end + 65536]
             stop = np.flatnonzero(_SPACE[step])
             end += int(stop[0]) if stop.size else step.size
-        parts.append(_segment_words(buf[begin:end]))
+        yield buf[begin:end]
         begin = end
-    return np.concatenate(parts)
+
+
+def line_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word, in order: its hash, the number of its line (after \\n), whether it holds a digit."""
+    hashes, lines, digits, before = [], [], [], 0
+    for part in _segments(np.frombuffer(text, np.uint8)):
+        h, line, digit = _segment_words(part, lines=True)
+        hashes.append(h), lines.append(line + before), digits.append(digit)
+        before += int((part == 10).sum())
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    return np.concatenate(hashes), np.concatenate(lines), np.concatenate(digits)
 
 
 _SHIFT = mix64(np.arange(101, 164, dtype=np.uint64) * _STEP) | np.uint64(1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality, toxicity
+from . import jaccard_join, language_id, line_dedup, mixing, packing, quality, toxicity
 from .common import crc_mod, table
 
 
@@ -18,6 +18,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))[0]
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def _labels(spark: SparkSession, sf_dir: str, label: str, modulus: int, held: int) -> DataFrame:
     """The labels that may be learned from."""
     return table(spark, sf_dir, "labels").where(crc_mod("doc_id", modulus) != held).select("doc_id", F.col(label).alias("label"))
@@ -40,6 +56,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_packing": op2_packing,
+        "op3_mixing": op3_mixing,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_quality": op8_quality,
         "op10_toxicity": op10_toxicity,
     }

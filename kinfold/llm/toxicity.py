@@ -7,7 +7,7 @@ until the k-th best cosine found is above the next bound: the k neighbours are e
 calibrated on the examples by leave-one-out votes, is the score; neighbours and shared terms are the evidence.
 
 Defined cases: null, empty or unknown-term text -> the calibrated score of a vote of 0, no evidence; ties of cosine
--> the example indexed first (smaller doc_id); no labelled rows -> score 0.0; a doc_id repeated in `docs` is scored
+-> the smaller doc_id; no labelled rows -> score 0.0; a doc_id repeated in `docs` is scored
 once per row; null labels are not learned from; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -81,7 +81,7 @@ class Index:
         return at, w / np.sqrt(w @ w)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties to the first), exactly; only examples with a cosine above 0."""
+        """The k examples of largest cosine (ties to the smaller doc_id), exactly; only examples with a cosine above 0."""
         if not at.size:
             return np.empty(0, np.int64), np.empty(0)
         bound = w @ self.bounds[at]
@@ -101,7 +101,7 @@ class Index:
             score = np.bincount(where, np.repeat(np.repeat(w, blocks.size), n) * self.values[post], rows.size)
             some = (score > 0) & (rows != without)
             got, cos = np.append(got, rows[some]), np.append(cos, score[some])
-            best = np.lexsort((got, -cos))[:k]
+            best = np.lexsort((self.ids[got], -cos))[:k]
             got, cos = got[best], cos[best]
         return got, cos
 
@@ -136,7 +136,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_terms: int = MAX_TERMS, seed: int = 17) -> Index:
     """Index the texts of `docs` that `labels` (doc_id, label 0/1) names: at most about `per_class` rows of each class and `max_terms` terms."""
     chosen, counted = labelled_sample(labels, per_class, seed)
-    sample = cut(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    sample = cut(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"))
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     total = max(n0 + n1, 1)
@@ -160,10 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, m
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(tf, pa.binary())], ["doc_id", "label", "at", "tf"])
 
     got = sample.select("doc_id", "text", "label").mapInArrow(counted_terms, "doc_id long, label int, at binary, tf binary").toPandas()
-    got = got.sort_values(["label", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
     empty = np.empty(0)
     if got.empty or not terms:
         return Index({}, idf, frozenset(), empty, empty, empty, empty, empty, empty, empty, empty)
+    # examples with the same heaviest term share blocks, which keeps the block bounds tight
+    got["key"] = [int(a[np.argmax((1 + np.log(f)) * idf[a])]) if a.size else -1 for a, f in ((np.frombuffer(a, "<i4"), np.frombuffer(f, "<f4")) for a, f in zip(got["at"], got["tf"], strict=True))]
+    got = got.sort_values(["key", "doc_id", "label"], kind="stable").reset_index(drop=True)
     row, col, val = [], [], []
     for i, (at, tf) in enumerate(zip(got["at"], got["tf"], strict=True)):
         at, tf = np.frombuffer(at, "<i4"), np.frombuffer(tf, "<f4").astype(float)

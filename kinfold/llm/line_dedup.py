@@ -38,17 +38,19 @@ def parse(text: str | None) -> list[tuple[int, int, bytes, list[int]]]:
     if not text:
         return []
     words, lines, digit = line_words(text.encode("utf-8", "replace"))
+    if not words.size:
+        return []
     words = np.where(digit, _FIELD, words)
     out: dict[tuple[int, int], list] = {}
     starts = np.flatnonzero(np.diff(lines, prepend=-1))
     ends = np.append(starts[1:], lines.size)
     places = np.arange(words.size) - np.repeat(starts, ends - starts)
     mixed = mix64(words + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    keys = np.add.reduceat(mixed, starts) if starts.size else mixed
+    keys = np.add.reduceat(mixed, starts)
     for s, e, key in zip(starts.tolist(), ends.tolist(), keys.tolist(), strict=True):
         if e - s < MIN_WORDS:
             continue
-        leaf = int(mix64(np.array([int(mixed[s : s + DEPTH].sum()) + (e - s)], np.uint64))[0])
+        leaf = int(mix64(mixed[s : s + DEPTH].sum(keepdims=True) + np.uint64(e - s))[0])
         seen = out.setdefault((leaf, key), [s, e, []])
         seen[2].append(int(lines[s]))
     signed = lambda x: x - (1 << 64) if x >> 63 else x

@@ -15,15 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's `spark.checkpoint.dir`, or one of our own only where it is unset."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _OWN_DIR
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage of `df`: a reliable checkpoint in the folder all executors share.
 
-    That folder is the session's `spark.checkpoint.dir`; one of our own is set only where none is. Spark removes a
-    checkpoint that nothing refers to any more if `spark.cleaner.referenceTracking.cleanCheckpoints` is on.
+    Spark removes a checkpoint that nothing refers to any more if `spark.cleaner.referenceTracking.cleanCheckpoints`
+    is on.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _OWN_DIR)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,3 +152,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, SCHEMA)
+
+
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with a column `language`: struct<lang_pred, score, rejected>; every column and row passes through."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def told(texts: pd.Series) -> pd.DataFrame:
+        m = shared.value
+        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+
+    return docs.withColumn("language", F.pandas_udf(told, SCHEMA.removeprefix("doc_id long, "))(F.col("text").cast("string")))

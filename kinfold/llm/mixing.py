@@ -131,15 +131,21 @@ def _laid_out(sized: DataFrame) -> DataFrame:
     return inner.join(offsets, ["source_no", "b1", "b2"]).withColumn("place", F.col("base") + F.col("inner")).drop("b1", "b2", "base", "inner")
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """Numbers rows by place in the scan: the same on every evaluation of a table scan or checkpoint, which `docs` has to be."""
+    return docs.withColumn("row_no", F.monotonically_increasing_id())
+
+
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
     documents: doc_id, size, source_size, target, taken, one row per row of `docs`.
-    pieces: row_no, doc_id, source, shard, slot, first_word, n_words: which words of which row the mix holds, where.
+    pieces: row_no, doc_id, source_no, shard, slot, turn, first_word, n_words: which words of which row the mix holds,
+    where, and in which pass over the source.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = cut(sized.withColumn("row_no", F.monotonically_increasing_id()))
+    sized = numbered_rows(docs).select("row_no", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = cut(sized)
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -183,8 +189,24 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLO
     slots = slots.repartition("shard", "source_no").join(by_source.select("source_no", "blocks", F.col("slots").alias("of"), "last_words"), "source_no")
     slots = slots.withColumn("cap", F.when(F.col("slot") == F.col("of") - 1, F.col("last_words")).otherwise(F.lit(block)))
     slots = slots.select("source_no", "shard", "slot", "blocks", "cap").mapInPandas(mapped, "source_no int, shard long, slot long, blocks long, cap long, index long")
-    pieces = parts.join(slots.drop("blocks"), ["source_no", "index"]).withColumn("n_words", F.least(F.col("hi") - F.col("lo"), F.col("cap") - F.col("at"))).where("n_words > 0")
-    pieces = pieces.select("row_no", "doc_id", "source_no", "shard", "slot", F.col("lo").alias("first_word"), "n_words")
+    slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("int")).drop("blocks")
+    pieces = parts.join(slots, ["source_no", "index"]).withColumn("n_words", F.least(F.col("hi") - F.col("lo"), F.col("cap") - F.col("at"))).where("n_words > 0")
+    pieces = pieces.select("row_no", "doc_id", "source_no", "shard", "slot", "turn", F.col("lo").alias("first_word"), "n_words")
     taken = pieces.groupBy("row_no").agg(F.sum("n_words").alias("taken"))
     documents = numbered.join(taken, "row_no", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return documents, pieces
+
+
+def mixed_texts(docs: DataFrame) -> DataFrame:
+    """`docs` as the mix holds them: one row per row and pass that takes words of it, `text` cut to those words.
+
+    Words keep the white space before them, but for the first; a text taken whole stays as it is.
+    """
+    _, pieces = mix(docs)
+    took = pieces.groupBy("row_no", "turn").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("took"))
+    words = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    taken = F.flatten(F.transform("took", lambda t: F.slice("words", (t["first_word"] + 1).cast("int"), t["n_words"].cast("int"))))
+    whole = F.aggregate("took", F.lit(0).cast("long"), lambda a, t: a + t["n_words"]) == F.size("words")
+    rows = numbered_rows(docs).join(took, "row_no").withColumn("words", words)
+    text = F.when(whole, F.col("text")).otherwise(F.regexp_replace(F.array_join(taken, ""), "^[\\x20\\x09-\\x0D]+", ""))
+    return rows.withColumn("text", text).select(*docs.columns)

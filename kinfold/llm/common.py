@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,3 +170,62 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     for j in range(take):
         total += mix64(words[j : j + last] * _SHIFT[j])
     return np.unique(mix64(total + np.uint64(take)))
+
+
+# ---------------------------------------------------------------- a bounded filter of ids
+
+_BITS_PER_ID, _MAX_BITS, _BIT_CHUNKS = 16, 28, 16
+
+
+class IdFilter:
+    """Says of any id whether it may be among the given ones: one hashed bit each, in a fixed most of 2**28 bits (32 MB).
+
+    It only spares rows a shuffle; what it lets through is joined exactly. Beyond its size it lets more through.
+    """
+
+    def __init__(self, bits: np.ndarray, log2: int):
+        self.bits, self.log2 = bits, log2
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        at = _bit_places(ids, self.log2)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _bit_places(ids: np.ndarray, log2: int) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64) + _STEP) >> np.uint64(64 - log2)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> IdFilter:
+    """Of the first column (long, not null) of `ids`; only the bits reach the driver."""
+    log2 = int(min(_MAX_BITS, max(10, np.ceil(np.log2(max(1, ids.count()) * _BITS_PER_ID)))))
+    size = (1 << log2) // 8 // _BIT_CHUNKS
+    kind = "chunk int, bits binary"
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((1 << log2) // 8, np.uint8)
+        for batch in batches:
+            at = _bit_places(batch.column(0).to_numpy(zero_copy_only=False), log2)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(range(_BIT_CHUNKS), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in bits.reshape(_BIT_CHUNKS, size)], pa.binary())], ["chunk", "bits"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(body), np.uint8)
+                total[chunk] = total[chunk] | part if chunk in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for t in total.values()], pa.binary())], ["chunk", "bits"])
+
+    out = np.zeros((_BIT_CHUNKS, size), np.uint8)
+    for r in ids.mapInArrow(marked, kind).repartition(_BIT_CHUNKS, "chunk").mapInArrow(merged, kind).collect():  # _BIT_CHUNKS rows
+        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return IdFilter(out.reshape(-1), log2)
+
+
+def where_may_hold(df: DataFrame, column: str, which: IdFilter) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(which)
+
+    def held(ids: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.may_hold(ids.to_numpy(np.int64)))
+
+    return df.where(F.col(column).isNotNull()).where(F.pandas_udf(held, "boolean")(F.coalesce(F.col(column), F.lit(0))))

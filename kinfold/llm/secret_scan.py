@@ -77,6 +77,21 @@ def _below(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(z * 1.5976 + z * z * z * 0.070566)))
 
 
+def _step(alphabet: str):
+    """One character of the runs and serial tests: its number less the middle of the alphabet."""
+
+    def step(acc: Column, c: Column) -> Column:
+        x = F.instr(F.lit(alphabet), c).cast("double") - (len(alphabet) + 1) / 2
+        first = acc["last"] == F.lit(-1.0)  # never a number of an even alphabet
+        return F.struct(
+            x.alias("last"),
+            (acc["runs"] + F.when(first, 0.0).otherwise(((x > 0) != (acc["last"] > 0)).cast("double"))).alias("runs"),
+            (acc["products"] + F.when(first, 0.0).otherwise(x * acc["last"])).alias("products"),
+        )
+
+    return step
+
+
 def battery(token: Column) -> Column:
     """struct<encoding, n, chi2, p_runs, p_serial, p> of a token; null where no encoding fits."""
     body = F.regexp_replace(token, "=+$", "")
@@ -90,16 +105,7 @@ def battery(token: Column) -> Column:
         chi2 = squares * k / n - n
         start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("products"))
 
-        def step(acc: Column, c: Column, alphabet: str = alphabet, k: float = k) -> Column:
-            x = F.instr(F.lit(alphabet), c).cast("double") - (k + 1) / 2
-            first = acc["last"] == F.lit(-1.0)
-            return F.struct(
-                x.alias("last"),
-                (acc["runs"] + F.when(first, 0.0).otherwise(((x > 0) != (acc["last"] > 0)).cast("double"))).alias("runs"),
-                (acc["products"] + F.when(first, 0.0).otherwise(x * acc["last"])).alias("products"),
-            )
-
-        walk = F.aggregate(F.split(body, ""), start, step)
+        walk = F.aggregate(F.split(body, ""), start, _step(alphabet))
         z_runs = (walk["runs"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         z_serial = walk["products"] / ((k * k - 1) / 12) / F.sqrt(n - 1)
         p_runs, p_serial = F.lit(2.0) * _below(-F.abs(z_runs)), F.lit(2.0) * _below(-F.abs(z_serial))

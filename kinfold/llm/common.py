@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -229,3 +229,33 @@ def where_may_hold(df: DataFrame, column: str, which: IdFilter) -> DataFrame:
         return pd.Series(shared.value.may_hold(ids.to_numpy(np.int64)))
 
     return df.where(F.col(column).isNotNull()).where(F.pandas_udf(held, "boolean")(F.coalesce(F.col(column), F.lit(0))))
+
+
+def by_group(df: DataFrame, keys: int, work: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """`work(key, rows)` on each group of the first `keys` columns; groups stream through sorted partitions, one at a time."""
+    names = df.columns[:keys]
+    columns = schema.split(", ")
+    kinds = pa.schema([pa.field(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for c in columns])
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, key, rows = [], None, []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:keys] != key:
+                    if rows:
+                        out += work(key, rows)
+                    key, rows = row[:keys], []
+                rows.append(row)
+            if len(out) > 10_000:
+                yield batch()
+        if rows:
+            out += work(key, rows)
+        yield batch()
+
+    return df.repartition(*names).sortWithinPartitions(*names).mapInArrow(streamed, schema)

@@ -15,57 +15,76 @@ against a line's own doc_id; further columns pass through; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, line_words, mix64
+from .common import by_group, cut, id_filter, line_words, mix64
 
 DEPTH, MIN_WORDS, MIN_DOCUMENTS, SIMILAR, LEAF = 3, 3, 4, 0.8, 2048
 _FIELD = np.uint64(0x5DEECE66D)  # what stands for a variable field
 _LINES = "doc_id long, text_key long, leaf long, line_key long, masked binary, lines array<int>"
 
 
-def parse(text: str | None) -> list[tuple[int, int, bytes, list[int]]]:
-    """(leaf, line key, masked words, line numbers) of each different masked line with at least MIN_WORDS words.
+def parse(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with at least MIN_WORDS words: leaf, line key, line number; then all masked words and the lines' bounds in them.
 
     A masked word is 16 bits of its hash; the line key is 64 bits over all of them.
     """
-    if not text:
-        return []
-    words, lines, digit = line_words(text.encode("utf-8", "replace"))
+    none = np.empty(0, np.int64)
+    words, lines, digit = line_words(text.encode("utf-8", "replace")) if text else (none.astype(np.uint64), none, none.astype(bool))
     if not words.size:
-        return []
+        return none, none, none, none, none.reshape(0, 2)
     words = np.where(digit, _FIELD, words)
-    out: dict[tuple[int, int], list] = {}
     starts = np.flatnonzero(np.diff(lines, prepend=-1))
     ends = np.append(starts[1:], lines.size)
-    places = np.arange(words.size) - np.repeat(starts, ends - starts)
+    n = ends - starts
+    places = np.arange(words.size) - np.repeat(starts, n)
     mixed = mix64(words + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     keys = np.add.reduceat(mixed, starts)
-    for s, e, key in zip(starts.tolist(), ends.tolist(), keys.tolist(), strict=True):
-        if e - s < MIN_WORDS:
-            continue
-        leaf = int(mix64(mixed[s : s + DEPTH].sum(keepdims=True) + np.uint64(e - s))[0])
-        seen = out.setdefault((leaf, key), [s, e, []])
-        seen[2].append(int(lines[s]))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [(signed(leaf), signed(key), words[s:e].astype("<u2").tobytes(), at) for (leaf, key), (s, e, at) in out.items()]
+    kept = n >= MIN_WORDS
+    starts, ends, n, keys = starts[kept], ends[kept], n[kept], keys[kept]
+    leaf = n.astype(np.uint64)
+    for j in range(DEPTH):
+        leaf = leaf + mixed[starts + j]
+    return mix64(leaf).view(np.int64), keys.view(np.int64), lines[starts], words.astype("<u2"), np.stack([starts, ends], axis=1)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaf of each different masked line of each document."""
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for doc_id, text_key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for leaf, key, masked, lines in parse(text):
-                for col, x in zip(cols, (doc_id, text_key, leaf, key, masked, lines), strict=True):
-                    col.append(x)
+        found = [np.empty(0, np.int64)]
+        for text in batch.column(0).to_pylist():
+            leaf, key, *_ = parse(text)
+            found.append(leaf[np.unique(key, return_index=True)[1]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], ["leaf"])
+
+
+def _parsed(shared) -> Callable:
+    """Lines in leaves that may be busy: one row per different masked line of a document, with all its line numbers."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        busy = shared.value
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "text_key", "leaf", "line_key", "masked", "lines"])
+        for batch in batches:
+            cols: list[list] = [[] for _ in kinds]
+            for doc_id, text_key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                leaf, key, line, words, bounds = parse(text)
+                some = np.flatnonzero(busy.may_hold(leaf))
+                seen: dict[int, list] = {}
+                for i, k, at in zip(some.tolist(), key[some].tolist(), line[some].tolist(), strict=True):
+                    if k in seen:
+                        seen[k].append(at)
+                        continue
+                    seen[k] = [at]
+                    for col, x in zip(cols, (doc_id, text_key, int(leaf[i]), k, words[bounds[i, 0] : bounds[i, 1]].tobytes(), seen[k]), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "text_key", "leaf", "line_key", "masked", "lines"])
+
+    return parsed
 
 
 def templates(masked: list[bytes], similar: float = SIMILAR) -> list[int]:
@@ -87,17 +106,16 @@ def templates(masked: list[bytes], similar: float = SIMILAR) -> list[int]:
     return out
 
 
-def _leaf(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["documents", "line_key"], ascending=[False, True], kind="stable")
-    frame["template"] = templates(frame["masked"].tolist())
-    by = frame.groupby("template")
-    frame["documents"], frame["first"] = by["documents"].transform("sum"), by["first"].transform("min")
-    return frame[["leaf", "line_key", "documents", "first"]]
-
-
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for text in batch.column(2).to_pylist() for p in parse(text)], pa.int64())], ["leaf"])
+def _leaf(key: tuple, rows: list[tuple]) -> list[tuple]:
+    """(leaf, line_key, documents, first) of the lines of a leaf, counted by template."""
+    rows = sorted(rows, key=lambda r: (-r[3], r[2]))
+    total: dict[int, list] = {}
+    numbers = templates([r[5] for r in rows])
+    for t, r in zip(numbers, rows, strict=True):
+        have = total.setdefault(t, [0, r[4]])
+        have[0] += r[3]
+        have[1] = r[4] if have[1] is None else have[1] if r[4] is None else min(have[1], r[4])
+    return [(r[0], r[2], *total[t]) for t, r in zip(numbers, rows, strict=True)]
 
 
 def recurring_lines(parsed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -108,7 +126,8 @@ def recurring_lines(parsed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Da
     busy = lines.join(leaves, "leaf")
     alone = busy.where("different = 1").select("leaf", "line_key", "documents", "first")
     deeper = F.when(F.col("different") > LEAF, F.xxhash64(F.substring("masked", 2 * DEPTH + 1, 6))).otherwise(F.lit(0))
-    shared = busy.where("different > 1").withColumn("deeper", deeper).groupBy("leaf", "deeper").applyInPandas(_leaf, "leaf long, line_key long, documents long, first long")
+    several = busy.where("different > 1").select("leaf", deeper.alias("deeper"), "line_key", "documents", "first", "masked")
+    shared = by_group(several, 2, _leaf, "leaf long, line_key long, documents long, first long")
     return alone.unionByName(shared).where(F.col("documents") >= min_documents).select("leaf", "line_key", "first")
 
 
@@ -116,8 +135,9 @@ def dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """`docs` with the lines of recurring templates dropped from `text`; adds n_lines and n_dropped (both null for null text)."""
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", F.col("text").cast("string").alias("text"))
-    busy = texts.mapInArrow(_leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf")
-    parsed = cut(texts.mapInArrow(_parsed, _LINES).join(busy, "leaf", "left_semi"))  # only lines that may recur
+    busy = cut(texts.select("text").mapInArrow(_leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf"))
+    filter_ = docs.sparkSession.sparkContext.broadcast(id_filter(busy))  # 32 MB at most; the join below is exact
+    parsed = cut(texts.mapInArrow(_parsed(filter_), _LINES).join(busy, "leaf", "left_semi"))  # only lines that may recur
     drop = parsed.drop("masked").join(cut(recurring_lines(parsed, min_documents)), ["leaf", "line_key"]).where("doc_id <> first")
     drop = drop.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped_lines"))
     joined = keyed.join(drop, ["doc_id", "text_key"], "left")

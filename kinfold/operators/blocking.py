@@ -130,11 +130,14 @@ def char_wb_grams(text: Column, low: int = 3, high: int = 4) -> Column:
     """All n-grams of each blank-padded word, with repeats; a word shorter than n is one gram, once."""
     word = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
 
+    def cut_at(w: Column, n: int):
+        return lambda i: F.substring(w, i, F.lit(n))
+
     def of(w: Column) -> Column:
         parts = []
         for n in range(low, high + 1):
             shorter = (F.length(w) < n) if n == low else F.lit(False)
-            many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i, n=n: F.substring(w, i, F.lit(n)))
+            many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), cut_at(w, n))
             parts.append(F.when(shorter, F.array(w)).when(F.length(w) >= n, many).otherwise(F.array().cast("array<string>")))
         return F.concat(*parts)
 

@@ -57,10 +57,13 @@ def _letters() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+_LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "ð": "d"}
+
+
 @cache
-def _spelt() -> dict[str, str]:
-    """Letters spelt with several: ligatures, and Indic letters and signs by the sound in their Unicode name."""
-    out = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "ð": "d"}
+def _indic() -> dict[str, str]:
+    """Indic letters, signs and digits by the sound in their Unicode name."""
+    out = {}
     for c in range(0x900, 0xD80):
         name = unicodedata.name(chr(c), "")
         if " LETTER " in name:
@@ -75,10 +78,13 @@ def _spelt() -> dict[str, str]:
 def romanise(x: Column) -> Column:
     """Null becomes ''; ASCII stays as it is; accents are dropped, ligatures and Indic letters spelt out."""
     x = F.coalesce(x, F.lit(""))
-    spelt = F.create_map(*(F.lit(s) for pair in _spelt().items() for s in pair))
     plain = F.translate(x, *_letters())
-    full = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")
-    return F.when(is_ascii(x), x).otherwise(F.regexp_replace(F.when(is_ascii(plain), plain).otherwise(full), "\\p{M}+", ""))
+    for letter, letters in _LIGATURES.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(letters))
+    spelt = F.create_map(*(F.lit(s) for pair in _indic().items() for s in pair))
+    indic = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(spelt, c), c)), "")
+    full = F.when(plain.rlike("[\\x{900}-\\x{D7F}]"), indic).otherwise(plain)
+    return F.when(is_ascii(x), x).otherwise(F.regexp_replace(full, "\\p{M}+", ""))
 
 
 def is_ascii(x: Column) -> Column:
@@ -96,9 +102,11 @@ def canon_tokens(x: Column) -> Column:
 
 
 def canon_states(x: Column) -> Column:
+    """Longest names first; texts without any state name, most of them, pass one test only."""
+    out = x
     for name, code in states_longest_first():
-        x = F.regexp_replace(x, f"\\b{name}\\b", code)
-    return x
+        out = F.regexp_replace(out, f"\\b{name}\\b", code)
+    return F.when(x.rlike(f"\\b({'|'.join(name for name, _ in states_longest_first())})\\b"), out).otherwise(x)
 
 
 def normalize_name(x: Column) -> Column:

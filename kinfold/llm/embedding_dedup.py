@@ -75,15 +75,28 @@ class Quantiser:
         reach = d2 - d2[np.arange(len(x)), own][:, None] <= 2 * self.rho * self.apart[own] + 1e-9
         return own, np.array(codes).T, np.sqrt(left), [np.flatnonzero(r).tolist() for r in reach]
 
-    def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of rows of x to coded vectors of list `which`, by table look-ups."""
+    def within(self, x: np.ndarray, which: int, codes: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the pairs whose asymmetric distance, by table look-ups, is at most `most` of the column.
+
+        Sums over some subspaces are lower bounds: the first few settle nearly all pairs, the rest is summed for those left.
+        """
         residual = self.padded(x - self.coarse[which])
-        total = np.zeros((len(x), len(codes)), np.float32)
-        for j, book in enumerate(self.books):
-            part = residual[:, j * SUBSPACE : (j + 1) * SUBSPACE]
-            table = ((part[:, None, :] - book[None, :, :]) ** 2).sum(2).astype(np.float32)
-            total += table[:, codes[:, j]]
-        return np.sqrt(total)
+        tables = [
+            ((part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)[None, :]).astype(np.float32)
+            for part, book in ((residual[:, j * SUBSPACE : (j + 1) * SUBSPACE], book) for j, book in enumerate(self.books))
+        ]
+        limit = (most * most).astype(np.float32) + np.float32(1e-4)
+        first = min(6, len(tables))
+        total = np.take(tables[0], codes[:, 0], axis=1)
+        for j in range(1, first):
+            total += np.take(tables[j], codes[:, j], axis=1)
+        i, k = np.nonzero(total <= limit[None, :])
+        left = total[i, k]
+        for j in range(first, len(tables)):
+            left = left + tables[j][i, codes[k, j]]
+            keep = left <= limit[k]
+            i, k, left = i[keep], k[keep], left[keep]
+        return i, k
 
 
 def _labels(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +134,9 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 31) -> D
         for f in frames:
             for dim, g in f.groupby("dim"):
                 own, codes, error, probes = shared.value[int(dim)].encode(_unit(np.array(g["x"].tolist()).reshape(len(g), int(dim))))
-                yield pd.DataFrame({"label": g["label"].to_numpy(), "dim": dim, "id": g["id"].to_numpy(), "copies": g["copies"].to_numpy(), "x": g["x"].to_numpy(), "list": own, "code": [c.tobytes() for c in codes], "error": error, "probes": probes})
+                yield pd.DataFrame({"label": g["label"].to_numpy(), "dim": dim, "id": g["id"].to_numpy(), "copies": g["copies"].to_numpy(), "x": [np.asarray(a, np.float64).tobytes() for a in g["x"]], "list": own, "code": [c.tobytes() for c in codes], "error": error, "probes": probes})
 
-    schema = "label string, dim int, id long, copies long, x array<double>, list int, code binary, error double, probes array<int>"
+    schema = "label string, dim int, id long, copies long, x binary, list int, code binary, error double, probes array<int>"
     index = cut(merged.select("label", "dim", "id", "copies", "x").mapInPandas(coded, schema))
     key = ["label", "dim", "list"]
     probing = index.select("label", "dim", F.explode("probes").alias("list"), "id", "x")
@@ -141,14 +154,16 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 31) -> D
         q, y = f[f["asks"]], f[~f["asks"]]
         if q.empty or y.empty:
             return none
-        qx, yx = (np.array(g["x"].tolist()).reshape(len(g), dim) for g in (q, y))
-        codes = np.array([np.frombuffer(c, np.uint8) for c in y["code"]])
-        near = shared.value[dim].distances(_unit(qx), which, codes) <= rho + y["error"].to_numpy()[None, :] + 1e-4
+        qx, yx = (np.frombuffer(b"".join(g["x"]), np.float64).reshape(len(g), dim) for g in (q, y))
+        codes = np.frombuffer(b"".join(y["code"]), np.uint8).reshape(len(y), -1)
         qid, yid = q["id"].to_numpy(), y["id"].to_numpy()
-        near &= qid[:, None] != yid[None, :]
-        at_q, at_y = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        i, k = shared.value[dim].within(_unit(qx), which, codes, rho + y["error"].to_numpy() + 1e-4)
+        i, k = i[qid[i] != yid[k]], k[qid[i] != yid[k]]
+        at_q, at_y = np.unique(i), np.unique(k)
         if not at_q.size:
             return none
+        near = np.zeros((len(q), len(y)), bool)
+        near[i, k] = True
         a, b = qx[at_q], yx[at_y]
         cosine = (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :])
         hit = near[np.ix_(at_q, at_y)] & (cosine >= threshold)

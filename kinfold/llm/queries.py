@@ -107,9 +107,9 @@ WITH RECURSIVE v AS (
 ), links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
   WHERE list_cosine_similarity(a.x, b.x) >= 0.93
-), reach(id, at) AS (
-  SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.at
-), part AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+), reach(id, node) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.node
+), part AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id)
 SELECT v.vec_id, CAST((SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS BIGINT) AS n_links, part.component_id, v.vec_id = part.component_id AS kept
 FROM v JOIN part ON part.id = v.vec_id
 """

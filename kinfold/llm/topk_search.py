@@ -85,41 +85,57 @@ def build(vectors: np.ndarray, ids: np.ndarray) -> bytes:
     return pickle.dumps((nodes, vectors[rows], ids[rows]), protocol=5)
 
 
-def search(tree: tuple, query: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(scores, ids, inner products computed): the k best of a tree with a score of at least `floor`, never `own`."""
+def search(tree: tuple, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """(scores, ids) per query of a block, and the inner products computed: the k best of a tree with a score of at least
+    the query's `floor`, never its `own` id. Nodes come best first, by the largest bound of any query; a node or vector is
+    computed only for the queries whose bounds still allow it.
+    """
     nodes, vectors, ids = tree
-    q = query.astype(np.float64)
-    size = float(np.sqrt(q @ q))
+    q = queries.astype(np.float64)
+    size = np.sqrt((q * q).sum(1))
     slack = 1e-9 * (1 + size)
-    scores, found = np.empty(0, np.int64), np.empty(0, np.int64)
-    top = float(q @ nodes[0][0])
-    computed, heap = 1, [(-(top + size * nodes[0][1]), 0, top)]
-    while heap and -heap[0][0] + slack >= floor:
-        _, at, here = heapq.heappop(heap)
-        _, _, _, children, begin, end, d = nodes[at]
+    floor = floor.astype(np.float64).copy()
+    scores = [np.empty(0, np.int64) for _ in q]
+    found = [np.empty(0, np.int64) for _ in q]
+    top = q @ nodes[0][0]
+    computed = len(q)
+    heap = [(-float((top + size * nodes[0][1]).max(initial=-np.inf)), 0, np.arange(len(q)), top)]
+    while heap:
+        _, at, mine, here = heapq.heappop(heap)
+        _, radius, _, children, begin, end, d = nodes[at]
+        live = here + size[mine] * radius + slack[mine] >= floor[mine]
+        mine, here = mine[live], here[live]
+        if not mine.size:
+            continue
         for c in children:
             centre, radius, up = nodes[c][:3]
-            if here + size * (up + radius) + slack < floor:
-                continue  # by the stored parent distance alone
-            there = float(q @ centre)
-            computed += 1
-            bound = there + size * radius
-            if bound + slack >= floor:
-                heapq.heappush(heap, (-bound, c, there))
+            may = here + size[mine] * (up + radius) + slack[mine] >= floor[mine]  # by the stored parent distance alone
+            some = mine[may]
+            if not some.size:
+                continue
+            there = q[some] @ centre
+            computed += some.size
+            bound = there + size[some] * radius
+            may = bound + slack[some] >= floor[some]
+            if may.any():
+                heapq.heappush(heap, (-float(bound[may].max()), c, some[may], there[may]))
         if end > begin:
-            able = int(np.searchsorted(-d, -(floor - slack - here) / size, side="right")) if size and np.isfinite(floor) else end - begin
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where(size[mine] > 0, (floor[mine] - slack[mine] - here) / size[mine], -np.inf)
+            able = int(np.searchsorted(-d, -float(least.min()), side="right"))  # vectors far enough out, for any query
             if not able:
                 continue
-            s = products(query[None, :], vectors[begin : begin + able])[0]
-            computed += able
-            some = np.flatnonzero((s >= floor) & (ids[begin : begin + able] != own))
-            scores, found = np.append(scores, s[some]), np.append(found, ids[begin + some])
-            if scores.size >= k:
-                best = np.lexsort((found, -scores))[:k]
-                scores, found = scores[best], found[best]
-                floor = max(floor, float(scores[-1]))
-    best = np.lexsort((found, -scores))[:k]
-    return scores[best], found[best], computed
+            s = products(queries[mine], vectors[begin : begin + able])
+            computed += s.size
+            near = (s >= floor[mine][:, None]) & (ids[begin : begin + able][None, :] != own[mine][:, None])
+            for i in np.flatnonzero(near.any(1)).tolist():
+                x, hit = int(mine[i]), np.flatnonzero(near[i])
+                all_, names = np.append(scores[x], s[i, hit]), np.append(found[x], ids[begin + hit])
+                best = np.lexsort((names, -all_))[:k]
+                scores[x], found[x] = all_[best], names[best]
+                if best.size == k:
+                    floor[x] = max(floor[x], float(scores[x][-1]))
+    return scores, found, computed
 
 
 def _cells(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +221,12 @@ def _ask(asks: DataFrame, trees: DataFrame, reach: dict, pivots: dict, k: int, h
             for blob, body in zip(batch.column(0), batch.column(1), strict=True):
                 tree = pickle.loads(blob.as_py())
                 cols: list[list] = [[], [], []]
-                for q, own, floor in zip(*pickle.loads(body.as_py()), strict=True):
-                    scores, ids, _ = search(tree, q, int(own), k, float(floor))
-                    cols[0] += [int(own)] * len(ids)
+                queries, own, floor = pickle.loads(body.as_py())
+                scores, found, _ = search(tree, queries, own, k, floor)
+                for o, s, ids in zip(own.tolist(), scores, found, strict=True):
+                    cols[0] += [o] * len(ids)
                     cols[1] += ids.tolist()
-                    cols[2] += scores.tolist()
+                    cols[2] += s.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     blocks = asks.repartition("dim", "cell").mapInPandas(routed, "dim int, cell int, chunk int, asked binary")

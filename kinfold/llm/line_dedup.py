@@ -4,7 +4,8 @@ A line (between newlines) is parsed into words; words that hold a digit are vari
 the number of words and the first DEPTH words; a leaf holds the lines that agree on these. Within a leaf, lines are
 matched, most frequent first, to templates: a line joins the template with which the largest share of places agrees,
 at least SIMILAR, and places where they differ become variable fields. A template is recurring if at least
-`min_documents` documents carry it; its lines are then dropped from every document but the one of smallest doc_id.
+`min_documents` documents carry it, or LONG_DOCUMENTS if it has LONG or more words; its lines are then dropped from
+every document but the one of smallest doc_id.
 A leaf of more than LEAF different lines grows three levels deeper.
 
 Defined cases: lines of fewer than MIN_WORDS words are kept; null text stays null; an empty text stays empty; a
@@ -19,12 +20,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_group, cut, id_filter, line_words, mix64
 
 DEPTH, MIN_WORDS, MIN_DOCUMENTS, SIMILAR, LEAF = 3, 3, 4, 0.8, 2048
+LONG, LONG_DOCUMENTS = 20, 2
 _FIELD = np.uint64(0x5DEECE66D)  # what stands for a variable field
 _LINES = "doc_id long, text_key long, leaf long, line_key long, masked binary, lines array<int>"
 
@@ -50,7 +52,8 @@ def parse(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     leaf = n.astype(np.uint64)
     for j in range(DEPTH):
         leaf = leaf + mixed[starts + j]
-    return mix64(leaf).view(np.int64), keys.view(np.int64), lines[starts], words.astype("<u2"), np.stack([starts, ends], axis=1)
+    leaf = mix64(leaf) & ~np.uint64(1) | (n >= LONG).astype(np.uint64)  # the lowest bit marks a leaf of long lines
+    return leaf.view(np.int64), keys.view(np.int64), lines[starts], words.astype("<u2"), np.stack([starts, ends], axis=1)
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +121,11 @@ def _leaf(key: tuple, rows: list[tuple]) -> list[tuple]:
     return [(r[0], r[2], *total[t]) for t, r in zip(numbers, rows, strict=True)]
 
 
+def _enough(min_documents: int) -> Column:
+    """The documents a template of this row's leaf must have."""
+    return F.when(F.col("leaf").bitwiseAND(F.lit(1)) == 1, min(LONG_DOCUMENTS, min_documents)).otherwise(min_documents)
+
+
 def recurring_lines(parsed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(leaf, line_key, first): the masked lines of recurring templates, and the smallest doc_id that carries each template."""
     lines = parsed.groupBy("leaf", "line_key").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"), F.first("masked").alias("masked"))
@@ -128,14 +136,14 @@ def recurring_lines(parsed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Da
     deeper = F.when(F.col("different") > LEAF, F.xxhash64(F.substring("masked", 2 * DEPTH + 1, 6))).otherwise(F.lit(0))
     several = busy.where("different > 1").select("leaf", deeper.alias("deeper"), "line_key", "documents", "first", "masked")
     shared = by_group(several, 2, _leaf, "leaf long, line_key long, documents long, first long")
-    return alone.unionByName(shared).where(F.col("documents") >= min_documents).select("leaf", "line_key", "first")
+    return alone.unionByName(shared).where(F.col("documents") >= _enough(min_documents)).select("leaf", "line_key", "first")
 
 
 def dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """`docs` with the lines of recurring templates dropped from `text`; adds n_lines and n_dropped (both null for null text)."""
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", F.col("text").cast("string").alias("text"))
-    busy = cut(texts.select("text").mapInArrow(_leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf"))
+    busy = cut(texts.select("text").mapInArrow(_leaves, "leaf long").groupBy("leaf").count().where(F.col("count") >= _enough(min_documents)).select("leaf"))
     filter_ = docs.sparkSession.sparkContext.broadcast(id_filter(busy))  # 32 MB at most; the join below is exact
     parsed = cut(texts.mapInArrow(_parsed(filter_), _LINES).join(busy, "leaf", "left_semi"))  # only lines that may recur
     drop = parsed.drop("masked").join(cut(recurring_lines(parsed, min_documents)), ["leaf", "line_key"]).where("doc_id <> first")

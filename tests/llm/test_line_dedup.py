@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from kinfold.llm import line_dedup
@@ -43,3 +44,18 @@ def test_defined_cases(spark):
     assert got[1].text is None and got[1].n_lines is None and got[2].text == ""
     assert "reserved" in got[11].text and "reserved" not in got[12].text
     assert line_dedup.dedup(empty(spark)).count() == 0
+
+
+def _prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def test_long_lines_of_two_or_three_documents(spark):
+    long, short = {2: _prose(1, 60), 3: _prose(2, line_dedup.LONG)}, _prose(3, line_dedup.LONG - 1)
+    rows = [(i, f"{_prose(100 + i, 30)}\n{short}" + "".join(f"\n{x}" for n, x in long.items() if i < n)) for i in range(3)]
+    rows += [(7, _prose(8, 40)), (7, _prose(8, 40))]  # one document given twice
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[7].text == rows[3][1]
+    assert [got[i].n_dropped for i in range(3)] == [0, 2, 1]
+    assert all(short in got[i].text and _prose(100 + i, 30) in got[i].text for i in range(3))

@@ -8,6 +8,11 @@ at least SIMILAR, and places where they differ become variable fields. A templat
 every document but the one of smallest doc_id.
 A leaf of more than LEAF different lines grows three levels deeper.
 
+Passages within lines are a second step, `drop_passages`: every run of PASSAGE words that two documents share word for
+word, wherever it stands in lines, stays in the document of smallest doc_id and is cut from the others. Of any
+PASSAGE words in a row, the smallest hash of MARK words is a mark, so documents that share such a run share a mark;
+only runs around marks of several rows are compared, by all their words.
+
 Defined cases: lines of fewer than MIN_WORDS words are kept; null text stays null; an empty text stays empty; a
 document is counted once per different masked line; a text keeps its other lines, in order, joined by newlines;
 a repeated row counts once more, but never
@@ -16,17 +21,20 @@ against a line's own doc_id; further columns pass through; an empty table gives
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, id_filter, line_words, mix64
+from .common import by_group, cut, id_filter, line_words, mix64, word_hashes
 
 DEPTH, MIN_WORDS, MIN_DOCUMENTS, SIMILAR, LEAF = 3, 3, 4, 0.8, 2048
 LONG, LONG_DOCUMENTS = 20, 2
+PASSAGE, MARK = 50, 16
 _FIELD = np.uint64(0x5DEECE66D)  # what stands for a variable field
 _LINES = "doc_id long, text_key long, leaf long, line_key long, masked binary, lines array<int>"
 
@@ -156,3 +164,120 @@ def dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
         F.when(F.col("text").isNotNull(), F.size(lines)).alias("n_lines"),
         F.when(F.col("text").isNotNull(), F.coalesce(F.size("dropped_lines"), F.lit(0))).alias("n_dropped"),
     )
+
+
+# ---------------------------------------------------------------- passages within lines
+
+_BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE, 1 << 16), _powers(pow(_BASE, -1, 1 << 64), 1 << 16)
+
+
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words; equal runs have equal hashes at any place."""
+    if words.size < width:
+        return np.empty(0, np.uint64)
+    up, down = (_UP, _DOWN) if words.size <= _UP.size else (_powers(_BASE, words.size), _powers(pow(_BASE, -1, 1 << 64), words.size))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: words.size], dtype=np.uint64)])
+    return mix64((total[width:] - total[:-width]) * down[: words.size - width + 1])
+
+
+def _smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each `width` values in a row."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = np.minimum(values[:-step], values[step:])
+        done += step
+    return values
+
+
+def _words(text: str | None) -> np.ndarray:
+    return word_hashes(text.encode("utf-8", "replace")) if text else np.empty(0, np.uint64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different marks of each text."""
+    for batch in batches:
+        found = [np.empty(0, np.uint64)]
+        for text in batch.column(0).to_pylist():
+            words = _words(text)
+            if words.size >= PASSAGE:
+                found.append(np.unique(_smallest(_runs(words, MARK), PASSAGE - MARK + 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["mark"])
+
+
+def _near_marks(shared) -> Callable:
+    """(doc_id, text_key, run, start) of the runs of PASSAGE words that hold a mark of several rows."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        busy = shared.value
+        for batch in batches:
+            ids, keys, runs, starts = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for doc_id, text_key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = _words(text)
+                if doc_id is None or words.size < PASSAGE:
+                    continue
+                marks = _smallest(_runs(words, MARK), PASSAGE - MARK + 1)  # the mark of each run
+                at = np.flatnonzero(busy.may_hold(marks.view(np.int64)))
+                if at.size:
+                    runs.append(_runs(words, PASSAGE)[at])
+                    starts.append(at)
+                    ids.append(np.full(at.size, doc_id, np.int64))
+                    keys.append(np.full(at.size, text_key, np.int64))
+            longs = [np.concatenate([np.empty(0, np.int64), *x]) for x in (ids, keys)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, longs), pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32))], ["doc_id", "text_key", "run", "start"])
+
+    return near
+
+
+def without_passages(text: str, starts: np.ndarray) -> tuple[str, int]:
+    """`text` without the PASSAGE words from each start on, and the number of words cut; blanks after a cut go, newlines stay."""
+    body = text.encode("utf-8", "replace")
+    words = [m.span() for m in _WORD.finditer(body)]
+    gone = np.zeros(len(words) + 1, np.int64)
+    np.add.at(gone, starts, 1)
+    np.add.at(gone, starts + PASSAGE, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    out, at = [], 0
+    for begin, end in edges.reshape(-1, 2).tolist():
+        out.append(body[at : words[begin][0]])
+        at = words[end - 1][1]
+        while body[at : at + 1] in (b" ", b"\t"):
+            at += 1
+    return b"".join([*out, body[at:]]).decode("utf-8"), int(gone.sum())
+
+
+def drop_passages(docs: DataFrame) -> DataFrame:
+    """`docs` with runs of PASSAGE words that a smaller doc_id holds too cut from `text`; adds n_cut, the words cut."""
+    keyed = cut(docs.withColumn("text_key", F.xxhash64("text")))
+    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", F.col("text").cast("string").alias("text"))
+    marks = cut(texts.select("text").mapInArrow(_marks, "mark long").groupBy("mark").count().where("count > 1").select("mark"))
+    filter_ = docs.sparkSession.sparkContext.broadcast(id_filter(marks))  # 32 MB at most; runs are compared exactly
+    runs = cut(texts.mapInArrow(_near_marks(filter_), "doc_id long, text_key long, run long, start int"))
+    first = runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    again = runs.join(first, "run").where("doc_id <> first").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    again = cut(again)  # few
+
+    def rest(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        done = [(t, 0) if s is None else without_passages(t, np.asarray(s, np.int64)) for t, s in zip(texts, starts, strict=True)]
+        return pd.DataFrame(done, columns=["text", "n_cut"])
+
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(again.select("text_key")))
+    may = F.pandas_udf(lambda keys: pd.Series(held.value.may_hold(keys.to_numpy(np.int64))), "boolean")
+    told = keyed.withColumn("may", may("text_key"))
+    some = told.where("may").join(again, ["doc_id", "text_key"], "left")  # all other rows stay where they are
+    some = some.withColumn("rest", F.pandas_udf(rest, "text string, n_cut long")(F.col("text").cast("string"), "starts"))
+    none = F.when(F.col("text").isNotNull(), F.lit(0)).cast("long")
+    kept = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.col("rest.text")).alias("text")
+    some = some.select(*[kept if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.when(F.col("starts").isNotNull(), F.col("rest.n_cut")), none).alias("n_cut"))
+    return told.where("not may").select(*docs.columns, none.alias("n_cut")).unionByName(some)

@@ -1,7 +1,8 @@
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
-from kinfold.llm import line_dedup
+from kinfold.llm import line_dedup, queries
 
 from .helpers import awkward, empty
 
@@ -59,3 +60,32 @@ def test_long_lines_of_two_or_three_documents(spark):
     assert got[0].text == rows[0][1] and got[7].text == rows[3][1]
     assert [got[i].n_dropped for i in range(3)] == [0, 2, 1]
     assert all(short in got[i].text and _prose(100 + i, 30) in got[i].text for i in range(3))
+
+
+def test_passages_within_longer_lines(spark):
+    passage = _prose(20, 60)
+    texts = [
+        f"{_prose(30, 9)}\n{passage} {_prose(31, 12)}\n{_prose(32, 8)}",
+        f"{_prose(33, 55)} {passage}\n{_prose(34, 7)}",
+        f"é {_prose(35, 5)} {passage.replace(' ', chr(10), 3)} {_prose(36, 5)}\nß",
+        " ".join([*passage.split()[:49], _prose(37, 20)]),  # 49 words are no passage
+        " ".join([*passage.split()[:5], "more", *passage.split()[5:], _prose(38, 3)]),  # a word inserted
+        f"{passage} {passage}", None, "",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.drop_passages(line_dedup.dedup(docs)).collect()}
+    assert len(got) == len(texts) + 1
+    assert all(got[i].text == texts[i] for i in (0, 3, 6, 7)) and got[None].text == texts[0]
+    assert got[1].text == f"{_prose(33, 55)} \n{_prose(34, 7)}" and got[1].n_cut == 60
+    assert got[2].text == f"é {_prose(35, 5)} {_prose(36, 5)}\nß"
+    assert got[4].text == " ".join([*passage.split()[:5], "more", _prose(38, 3)])
+    assert got[5].text == "" and got[5].n_cut == 120 and got[6].n_cut is None
+
+
+def test_op5_leaves_no_passage_in_two_documents(spark):
+    left = defaultdict(set)
+    for r in queries.op5_line_dedup(spark, "/root/testdata/sf0.01").collect():
+        words = re.findall("[^ \\t-\\r]+", r.text or "")
+        for i in range(len(words) - line_dedup.PASSAGE + 1):
+            left[tuple(words[i : i + line_dedup.PASSAGE])].add(r.doc_id)
+    assert left and all(len(x) == 1 for x in left.values())

@@ -6,7 +6,8 @@ matched, most frequent first, to templates: a line joins the template with which
 at least SIMILAR, and places where they differ become variable fields. A template is recurring if at least
 `min_documents` documents carry it, or LONG_DOCUMENTS if it has LONG or more words; its lines are then dropped from
 every document but the one of smallest doc_id.
-A leaf of more than LEAF different lines grows three levels deeper.
+A leaf of any size is matched as one: past SCAN templates, only templates that agree with the line on all places of at
+least one block are looked at, with one block more than places may differ, so no match is lost.
 
 Passages within lines are a second step, `drop_passages`: every run of PASSAGE words that two documents share word for
 word, wherever it stands in lines, stays in the document of smallest doc_id and is cut from the others. Of any
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, cut, id_filter, line_words, mix64, word_hashes
+from .common import cut, id_filter, line_words, mix64, word_hashes
 
-DEPTH, MIN_WORDS, MIN_DOCUMENTS, SIMILAR, LEAF = 3, 3, 4, 0.8, 2048
+DEPTH, MIN_WORDS, MIN_DOCUMENTS, SIMILAR, SCAN = 3, 3, 4, 0.8, 256
 LONG, LONG_DOCUMENTS = 20, 2
 PASSAGE, MARK = 50, 16
 _FIELD = np.uint64(0x5DEECE66D)  # what stands for a variable field
@@ -98,35 +99,68 @@ def _parsed(shared) -> Callable:
     return parsed
 
 
-def templates(masked: list[bytes], similar: float = SIMILAR) -> list[int]:
+class Templates:
+    """The templates of one leaf; all lines have the same number of words and are given in order."""
+
+    def __init__(self, n_words: int, similar: float = SIMILAR, scan: int = SCAN):
+        self.similar, self.scan, self.n = similar, scan, 0
+        self.known = np.empty((8, n_words), np.int32)
+        differ = max(d for d in range(n_words + 1) if (n_words - d) / n_words >= similar)
+        begin = DEPTH if n_words - DEPTH > differ else 0  # the leaf's own words agree anyway
+        self.blocks = [(int(b[0]), int(b[-1]) + 1) for b in np.array_split(np.arange(begin, n_words), differ + 1) if b.size]
+        self.index: list[dict[bytes, list[int]]] | None = None
+
+    def _enter(self, t: int) -> None:
+        for (a, b), held in zip(self.blocks, self.index, strict=True):
+            if (self.known[t, a:b] >= 0).all():
+                held.setdefault(self.known[t, a:b].tobytes(), []).append(t)
+
+    def _near(self, w: np.ndarray) -> np.ndarray:
+        if self.n <= self.scan:
+            return np.arange(self.n)
+        if self.index is None:
+            self.index = [{} for _ in self.blocks]
+            for t in range(self.n):
+                self._enter(t)
+        found = [held.get(w[a:b].tobytes(), ()) for (a, b), held in zip(self.blocks, self.index, strict=True)]
+        return np.unique(np.concatenate([np.asarray(f, np.int64) for f in found]))
+
+    def number(self, masked: bytes) -> int:
+        """The template number of the next line; it opens a template if it is like none."""
+        w = np.frombuffer(masked, "<u2").astype(np.int32)
+        near = self._near(w)
+        if near.size:
+            share = (self.known[near] == w).mean(1)
+            at = int(np.argmax(share))
+            if share[at] >= self.similar:
+                best = int(near[at])
+                self.known[best][self.known[best] != w] = -1  # a variable field; stale index entries only add to look-ups
+                return best
+        if self.n == len(self.known):
+            self.known = np.concatenate([self.known, np.empty_like(self.known)])
+        self.known[self.n] = w
+        self.n += 1
+        if self.index is not None:
+            self._enter(self.n - 1)
+        return self.n - 1
+
+
+def templates(masked: list[bytes], similar: float = SIMILAR, scan: int = SCAN) -> list[int]:
     """The template number of each masked line of one leaf, taken in order; all have the same number of words."""
-    words = np.array([np.frombuffer(m, "<u2") for m in masked]).astype(np.int32)
-    known = np.empty_like(words)
-    n, out = 0, []
-    for w in words:
-        if n:
-            share = (known[:n] == w).mean(1)
-            best = int(np.argmax(share))
-            if share[best] >= similar:
-                known[best][known[best] != w] = -1  # a variable field
-                out.append(best)
-                continue
-        known[n] = w
-        out.append(n)
-        n += 1
-    return out
-
-
-def _leaf(key: tuple, rows: list[tuple]) -> list[tuple]:
-    """(leaf, line_key, documents, first) of the lines of a leaf, counted by template."""
-    rows = sorted(rows, key=lambda r: (-r[3], r[2]))
-    total: dict[int, list] = {}
-    numbers = templates([r[5] for r in rows])
-    for t, r in zip(numbers, rows, strict=True):
-        have = total.setdefault(t, [0, r[4]])
-        have[0] += r[3]
-        have[1] = r[4] if have[1] is None else have[1] if r[4] is None else min(have[1], r[4])
-    return [(r[0], r[2], *total[t]) for t, r in zip(numbers, rows, strict=True)]
+    known = Templates(len(masked[0]) // 2, similar, scan) if masked else None
+    return [known.number(m) for m in masked]
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (leaf, line_key, documents, first, masked), sorted by leaf and order, with template numbers for `masked`."""
+    leaf, known = None, None
+    for batch in batches:
+        numbers = []
+        for at, masked in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            if at != leaf:
+                leaf, known = at, Templates(len(masked) // 2)
+            numbers.append(known.number(masked))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(numbers, pa.int64())], ["leaf", "line_key", "documents", "first", "template"])
 
 
 def _enough(min_documents: int) -> Column:
@@ -141,9 +175,11 @@ def recurring_lines(parsed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Da
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("different"))
     busy = lines.join(leaves, "leaf")
     alone = busy.where("different = 1").select("leaf", "line_key", "documents", "first")
-    deeper = F.when(F.col("different") > LEAF, F.xxhash64(F.substring("masked", 2 * DEPTH + 1, 6))).otherwise(F.lit(0))
-    several = busy.where("different > 1").select("leaf", deeper.alias("deeper"), "line_key", "documents", "first", "masked")
-    shared = by_group(several, 2, _leaf, "leaf long, line_key long, documents long, first long")
+    several = busy.where("different > 1").select("leaf", "line_key", "documents", "first", "masked")
+    ordered = several.repartition("leaf").sortWithinPartitions("leaf", F.desc("documents"), "line_key")
+    numbered = cut(ordered.mapInArrow(_numbered, "leaf long, line_key long, documents long, first long, template long"))
+    total = numbered.groupBy("leaf", "template").agg(F.sum("documents").alias("documents"), F.min("first").alias("first"))
+    shared = numbered.select("leaf", "line_key", "template").join(total, ["leaf", "template"]).select("leaf", "line_key", "documents", "first")
     return alone.unionByName(shared).where(F.col("documents") >= _enough(min_documents)).select("leaf", "line_key", "first")
 
 

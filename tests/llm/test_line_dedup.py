@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from kinfold.llm import line_dedup, queries
 
 from .helpers import awkward, empty
@@ -89,3 +91,23 @@ def test_op5_leaves_no_passage_in_two_documents(spark):
         for i in range(len(words) - line_dedup.PASSAGE + 1):
             left[tuple(words[i : i + line_dedup.PASSAGE])].add(r.doc_id)
     assert left and all(len(x) == 1 for x in left.values())
+
+
+def test_one_template_of_any_number_of_lines(spark):
+    rng = random.Random(9)
+    names = {"".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(2300)}
+    rows = [(i, f"user logged in {name} from the main office") for i, name in enumerate(sorted(names))]
+    assert len(rows) > 2048
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("text <> ''").collect()
+    assert [r.doc_id for r in got] == [0]
+
+
+def test_blocks_lose_no_template():
+    rng = np.random.default_rng(4)
+    for n, kinds in ((3, 2), (4, 3), (5, 3), (8, 3), (11, 3), (25, 2), (40, 2)):
+        base = rng.integers(0, kinds, (30, n))
+        lines = base[rng.integers(0, 30, 600)]
+        lines = np.where(rng.random(lines.shape) < 0.12, rng.integers(0, 50, lines.shape), lines)
+        lines[:, : line_dedup.DEPTH] = 7
+        masked = [x.astype("<u2").tobytes() for x in lines]
+        assert line_dedup.templates(masked, scan=0) == line_dedup.templates(masked, scan=10**9)

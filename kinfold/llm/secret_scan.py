@@ -3,8 +3,9 @@
 Base spans, leftmost and non-overlapping per kind: `assign` (a credential name, a separator and a value of 12 or more
 characters), `access` (AKIA..., 18 or more) and `hex` (16 or more lower-case hex digits).
 
-The battery adds `random` spans. Every maximal run of 20 or more token characters that holds a letter and a digit
-gets the tightest encoding that fits (hex, base32, base36, base62, base64, base64url), its characters become numbers,
+The battery adds `random` spans. A candidate is a maximal run of 20 or more token characters with its padding; a run
+that mixes - or _ with + or / fits no encoding, so its parts of 20 or more letters and digits are candidates instead.
+Every candidate that holds a letter and a digit gets the tightest encoding that fits (hex, base32, base36, base62, base64, base64url), its characters become numbers,
 and three tests look at them: chi-squared uniformity over the alphabet, runs above and below the middle, and lag-1
 serial correlation. The p-value of a run is the chance that text-like characters, whose chi-squared statistic grows
 with length, look as uniform as it does; runs that the other two tests reject as not random get 1. Within each band
@@ -30,7 +31,8 @@ HEX = "[0-9a-f]{16,}"  # the runs of 16 and more among all maximal runs
 ASSIGN_MIN, ACCESS_MIN = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: A whole run that fits one alphabet, or else its parts of letters and digits; '=' only pads the end.
+CANDIDATE = "(?:(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{20,}+|[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9+/_-])|(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+)={0,2}"
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: Encoding: what fits it, its alphabet in order, and how far text-like characters are from uniform over it
 #: (alphabet size * sum of squared letter shares - 1).

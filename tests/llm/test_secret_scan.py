@@ -54,3 +54,13 @@ def test_battery_tells_keys_from_names(spark):
     got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert sum(got[i] == "random:12:52" for i in range(20)) >= 16
     assert all("random" not in got[i] for i in (*range(100, 160), 200, 201))
+
+
+def test_secrets_after_names_and_in_paths(spark):
+    rng = random.Random(6)
+    alnum = string.ascii_letters + string.digits
+    heads = ("secret_key=", "aws_secret_access_key=", "client_key=", "AUTH=", "keys/my-app/", "a-b+")
+    rows = [(i, f"{heads[i % 6]}{''.join(rng.choice(alnum) for _ in range(40))}{'/old_one' if i % 6 > 3 else ''} end") for i in range(60)]
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k, head in enumerate(heads):
+        assert sum(got[i] == f"random:{len(head)}:{len(head) + 40}" for i in range(k, 60, 6)) >= 7, head

@@ -612,10 +612,11 @@ def q_text_regression(spark, sf):
     from ..operators import ml
 
     d = A.table(spark, sf, "documents").where("text is not null").select("doc_id", "text", F.col("n_chars").cast("double").alias("target"))
-    x, _ = ml.text_features(folds.make_folds(d, "doc_id"), "text", 500)
+    x, _ = ml.text_features(folds.make_folds(d, "doc_id"), "text")
     x = x.select("doc_id", "target", "fold", "x").persist()
-    model = ml.fit_price(x.where("fold <> 0"), "target", trees=5)
-    return ml.predict_price(model, x.where("fold = 0")).select("doc_id", "target", "prediction")
+    fit = lambda train, rows, fold: ml.predict_price(ml.fit_price(train, "target"), rows)
+    oof, _, _ = folds.run_cv(x, "doc_id", "target", fit, lambda got: 0.0)  # the query gives the predictions only
+    return oof.select("doc_id", "target", "prediction")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import blocking, decide, folds, metrics, ml
+from kinfold.plans import linkage
 from kinfold.sources import records, sinks
 from kinfold.streaming.linkage import stream_candidates
 
@@ -131,3 +132,9 @@ def test_streamed_records_meet_the_index(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("linked").collect()] == [("S1_1", "S2_9", "n|x")]
+
+
+def test_text_regression_gives_every_document_a_prediction(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").where("text is not null")
+    got = [r.doc_id for r in linkage.queries()["text_regression"](spark, sf_small).collect()]
+    assert sorted(got) == sorted(r.doc_id for r in docs.collect())

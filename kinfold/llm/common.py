@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR = "/tmp/checkpoints"
+#: Bytes of an Arrow batch.
+BATCH = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold at most BATCH bytes (one row at least), unless the session sets a limit of its own."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(key).rstrip("b") == str(default):
+        spark.conf.set(key, str(BATCH))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage of `df`: a reliable checkpoint in the folder all executors share.
 
@@ -86,90 +104,171 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _STEP) | np.uint64(1)
-_POW = mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_FAR = mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-_FAR[0] = 1
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_SEGMENT = 1 << 22
-
-
-def _segment_words(buf: np.ndarray, lines: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]:
-    space = _SPACE[buf]
-    word = ~space
-    if not word.any():
-        none = np.empty(0, np.uint64)
-        return (none, none.astype(np.int64), none.astype(bool)) if lines else none
-    first = word.copy()
+_ODD = np.uint64(0xD1342543DE82EF95)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Bytes of texts that are parsed at once; a longer text is parsed alone, in segments. Bytes of a word that are hashed by lanes.
+CHUNK, _LONG_WORD = 1 << 18, 512
+
+
+def _spaces(buf: np.ndarray) -> np.ndarray:
+    return (buf == 32) | ((buf >= 9) & (buf <= 13))
+
+
+def _lowered(buf: np.ndarray) -> np.ndarray:
+    return buf + (((buf >= 65) & (buf <= 90)).view(np.uint8) << np.uint8(5))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which is faster here than a hash table)."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if values.size else values
+
+
+@dataclass
+class Words:
+    """The words (maximal runs of bytes other than \\x20 and \\x09-\\x0D) of some texts, in order."""
+
+    hashes: np.ndarray  # 64-bit, by all bytes of the word
+    bounds: np.ndarray  # of each text, its first word; then the number of words
+    line: np.ndarray  # of each word, the number of its line (after \\n) in its text
+    digit: np.ndarray  # whether it holds a digit
+
+    def owner(self) -> np.ndarray:
+        """Of each word, the number of its text."""
+        return np.repeat(np.arange(self.bounds.size - 1), np.diff(self.bounds))
+
+
+def word_spans(buf: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after it; no word crosses one of `begins`, where texts begin."""
+    space = _spaces(buf)
+    first, last = ~space, ~space
     first[1:] &= space[:-1]
-    kept = buf[word]
-    starts = np.flatnonzero(first[word])
-    lengths = np.diff(np.append(starts, kept.size))
-    at = np.arange(kept.size) - np.repeat(starts, lengths)
-    value = _BYTE[kept] * _POW[at & 4095]
-    if lengths.max() > 4096:
-        value *= _FAR[(at >> 12) & 4095]
-    hashed = mix64(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * _STEP)
-    if not lines:
-        return hashed
-    line = np.cumsum(buf == 10)[first & word]
-    digit = np.logical_or.reduceat((kept >= 48) & (kept <= 57), starts)
-    return hashed, line, digit
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each maximal run of bytes other than \\x20 and \\x09-\\x0D, in order; memory is bounded per segment."""
-    buf = np.frombuffer(text, np.uint8)
-    if buf.size <= _SEGMENT:
-        return _segment_words(buf) if buf.size else np.empty(0, np.uint64)
-    return np.concatenate([_segment_words(part) for part in _segments(buf)])
+    last[:-1] &= space[1:]
+    begins = begins[begins < buf.size]
+    first[begins] = ~space[begins]
+    before = begins[begins > 0] - 1
+    last[before] = ~space[before]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, eight bytes at a time."""
+    padded = np.zeros(buf.size + 8, np.uint8)
+    padded[:-8] = buf
+    lanes = np.ndarray((buf.size + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix64((lanes[starts] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _STEP)
+    more, at = np.flatnonzero(size > 8), 8
+    while more.size and at < _LONG_WORD:
+        out[more] = mix64((out[more] ^ (lanes[starts[more] + at] & _MASK[np.minimum(size[more] - at, 8)])) * _ODD)
+        at += 8
+        more = more[size[more] > at]
+    for i in more.tolist():
+        rest = hashlib.blake2b(buf[starts[i] + at : ends[i]], digest_size=8).digest()
+        out[i] = mix64(out[i : i + 1] ^ np.frombuffer(rest, "<u8"))[0]
+    return out
+
+
+def _parsed(buf: np.ndarray, begins: np.ndarray) -> Words:
+    starts, ends = word_spans(buf, begins)
+    bounds = np.append(np.searchsorted(starts, begins), starts.size)
+    newline = np.flatnonzero(buf == 10)
+    line = np.searchsorted(newline, starts) - np.repeat(np.searchsorted(newline, begins), np.diff(bounds))
+    digit = np.zeros(starts.size, bool)
+    digit[np.searchsorted(starts, np.flatnonzero((buf >= 48) & (buf <= 57)), side="right") - 1] = True
+    return Words(_hashed(buf, starts, ends), bounds, line, digit)
 
 
 def _segments(buf: np.ndarray) -> Iterator[np.ndarray]:
     """Bounded parts of a text; a word is never cut."""
     begin = 0
     while begin < buf.size:
-        end = min(buf.size, begin + _SEGMENT)
-        while end < buf.size and not _SPACE[buf[end]]:
+        end = min(buf.size, begin + CHUNK)
+        while end < buf.size and not _spaces(buf[end : end + 1])[0]:
             step = buf[end : end + 65536]
-            stop = np.flatnonzero(_SPACE[step])
+            stop = np.flatnonzero(_spaces(step))
             end += int(stop[0]) if stop.size else step.size
         yield buf[begin:end]
         begin = end
 
 
-def line_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word, in order: its hash, the number of its line (after \\n), whether it holds a digit."""
-    hashes, lines, digits, before = [], [], [], 0
-    for part in _segments(np.frombuffer(text, np.uint8)):
-        h, line, digit = _segment_words(part, lines=True)
-        hashes.append(h), lines.append(line + before), digits.append(digit)
+def _parsed_alone(buf: np.ndarray) -> Words:
+    done, before = [], 0
+    for part in _segments(buf):
+        w = _parsed(part, np.zeros(1, np.int64))
+        w.line += before
         before += int((part == 10).sum())
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
-    return np.concatenate(hashes), np.concatenate(lines), np.concatenate(digits)
+        done.append(w)
+    joined = [np.concatenate([getattr(w, f) for w in done]) for f in ("hashes", "line", "digit")]
+    return Words(joined[0], np.array([0, joined[0].size]), joined[1], joined[2])
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a string array; a null text has no bytes."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    body = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return at - at[0], body[at[0] : at[-1]]
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+    """(row of the first text, row after the last, words) of whole texts, about CHUNK bytes at a time; `lower` lower-cases A-Z."""
+    offsets, body = text_bytes(texts)
+    row, n = 0, offsets.size - 1
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1)
+        buf = body[offsets[row] : offsets[end]]
+        buf = _lowered(buf) if lower else buf
+        yield row, end, _parsed(buf, offsets[row:end] - offsets[row]) if buf.size <= CHUNK else _parsed_alone(buf)
+        row = end
+
+
+def freed(batches: Iterator) -> Iterator:
+    """The same batches; when they end, what the task has freed goes back to the system, as the worker lives on."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 _SHIFT = mix64(np.arange(101, 164, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the `width`-word shingles of a text with A-Z lower-cased.
-
-    Fewer words than `width`: the whole sequence is one shingle. No words or a null text: empty.
-    """
-    if not text:
-        return np.empty(0, np.uint64)
-    words = word_hashes(text.encode("utf-8", "replace").lower())  # bytes.lower touches A-Z only
-    if not words.size:
-        return words
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` words in a row; of all words if there are fewer."""
     take = min(width, words.size)
     last = words.size - take + 1
-    total = np.zeros(last, np.uint64)
-    for j in range(take):
+    total = words[:last] * _SHIFT[0]
+    for j in range(1, take):
         total += mix64(words[j : j + last] * _SHIFT[j])
-    return np.unique(mix64(total + np.uint64(take)))
+    return mix64(total + np.uint64(take))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Of each text, the sorted distinct hashes of its `width`-word shingles, A-Z lower-cased.
+
+    Fewer words than `width`: the whole sequence is one shingle. No words or a null text: empty.
+    """
+    none = np.empty(0, np.uint64)
+    for _, _, w in words_of(texts, lower=True):
+        every = _shingles(w.hashes, width) if w.hashes.size else none  # some cross texts; those are left out
+        for begin, end in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+            if end - begin >= width:
+                yield distinct(every[begin : end - width + 1])
+            else:
+                yield _shingles(w.hashes[begin:end], width) if end > begin else none
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.large_string()), width))
 
 
 # ---------------------------------------------------------------- a bounded filter of ids
@@ -222,11 +321,12 @@ def id_filter(ids: DataFrame) -> IdFilter:
     return IdFilter(out.reshape(-1), log2)
 
 
-def where_may_hold(df: DataFrame, column: str, which: IdFilter) -> DataFrame:
+def where_may_hold(df: DataFrame, column: str, which: IdFilter, no: bool = False) -> DataFrame:
+    """Rows whose `column` (long, not null) the filter may hold; with `no`, those it doesn't."""
     shared = df.sparkSession.sparkContext.broadcast(which)
 
     def held(ids: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.may_hold(ids.to_numpy(np.int64)))
+        return pd.Series(shared.value.may_hold(ids.to_numpy(np.int64)) ^ no)
 
     return df.where(F.col(column).isNotNull()).where(F.pandas_udf(held, "boolean")(F.coalesce(F.col(column), F.lit(0))))
 

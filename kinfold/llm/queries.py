@@ -31,7 +31,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_passages(line_dedup.dedup(table(spark, sf_dir, "documents"))).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped", "n_cut")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

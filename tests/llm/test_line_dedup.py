@@ -109,5 +109,5 @@ def test_blocks_lose_no_template():
         lines = base[rng.integers(0, 30, 600)]
         lines = np.where(rng.random(lines.shape) < 0.12, rng.integers(0, 50, lines.shape), lines)
         lines[:, : line_dedup.DEPTH] = 7
-        masked = [x.astype("<u2").tobytes() for x in lines]
+        masked = [x.astype("<u8").tobytes() for x in lines]
         assert line_dedup.templates(masked, scan=0) == line_dedup.templates(masked, scan=10**9)

@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates and shared passages go from all documents but the first; a document that had nothing else goes too."""
-    out = line_dedup.drop_passages(line_dedup.dedup(docs)).where((F.col("n_dropped") + F.col("n_cut") == 0) | F.col("text").rlike(_HAS_WORD) | F.col("text").isNull())
+    out = line_dedup.clean(docs).where((F.col("n_dropped") + F.col("n_cut") == 0) | F.col("text").rlike(_HAS_WORD) | F.col("text").isNull())
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR = "/tmp/checkpoints"
@@ -60,31 +60,51 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int, seed: int) -> tuple[DataFrame, dict]:
-    """At most about `per_label` rows of each value of `label`, chosen by hashed doc_id.
+def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> tuple[DataFrame, dict]:
+    """About `per_label` rows of each value of `label`, twice as many at most, chosen by hashed doc_id.
 
-    Returns the filtered rows (a lazy DataFrame, at most 2 * per_label * max_labels rows) and the number of rows
-    per label in the whole input. The hash makes the choice independent of partitioning.
+    Returns the chosen rows (lazy) and the number of rows per label in the whole input. The hash makes the choice
+    independent of partitioning; past the bound, rows go by hash, doc_id and text.
     """
-    counted = {
-        r[0]: r[1]
-        for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    }
+    counted = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row per label
     if not counted:
-        return rows.limit(0), counted
-    share = F.lit(0)
-    for value, n in counted.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1 << 30, int(per_label / n * (1 << 30))))).otherwise(share)
+        return rows.where("false"), counted
+    kind = rows.schema[label].dataType.simpleString()
+    shares = [(value, min(1 << 30, int(per_label / n * (1 << 30)) + 1)) for value, n in counted.items()]
+    shares = rows.sparkSession.createDataFrame(shares, f"{label} {kind}, share long")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30))
-    return rows.where(draw < share).limit(2 * per_label * len(counted)), counted
+    first = Window.partitionBy(label).orderBy(draw, "doc_id", *(c for c in rows.columns if c not in (label, "doc_id")))
+    few = rows.join(F.broadcast(shares), label).where(draw < F.col("share")).drop("share").select(*rows.columns)
+    return few.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= 2 * per_label).drop("turn"), counted
 
 
-def labelled_sample(labels: DataFrame, per_class: int, seed: int) -> tuple[DataFrame, dict]:
-    """A sample of (doc_id, label 0/1), bounded as in `bounded_sample`, small enough to broadcast; and the rows per label."""
-    rows = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
-    sample, counted = bounded_sample(rows, "label", per_class, 2, seed)
-    chosen = sorted({tuple(r) for r in sample.collect()})
-    return labels.sparkSession.createDataFrame(chosen, "doc_id long, label int"), counted
+def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int, seed: int) -> tuple[DataFrame, dict]:
+    """(doc_id, text, label 0/1): whole texts of a bounded sample of labelled documents, one row each; and the rows per label.
+
+    Null labels, and 0 and 1 for one doc_id, count for nothing; of different texts of one doc_id the smallest is taken.
+    """
+    known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    sample, counted = bounded_sample(known, "label", per_class, seed)
+    chosen = labels.sparkSession.createDataFrame([tuple(r) for r in sample.select("doc_id", "label").collect()], "doc_id long, label int")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), counted
+
+
+def map_texts(docs: DataFrame, compute: Callable[[pa.Array], list[pa.Array]], added: str) -> DataFrame:
+    """`docs` with the columns `added` ("name type, ..."), computed from batches of `text`; a column of such a name is replaced."""
+    small_batches(docs.sparkSession)
+    names, new = docs.columns, [c.split()[0] for c in added.split(", ")]
+    own = docs.select([F.col(quoted(c)).cast("string").alias(f"c{i}") if c == "text" else F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
+    at = names.index("text")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(at))], [*own.columns, *new])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    out = own.mapInArrow(lambda b: freed(mapped(b)), f"{schema}, {added}")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in new), *new)
 
 
 # ---------------------------------------------------------------- hashing of words, vectorised over bytes

@@ -13,7 +13,7 @@ nodes) that may hold a better or equal score are searched. Scores are exact inte
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; only
 vectors of equal length are compared; a query never meets rows with its own vec_id; repeated rows are candidates each;
 ties go to the smaller vec_id; fewer than k candidates: all of them; further columns are ignored; an empty table
-gives an empty result.
+gives an empty result. Finite components so large that a score might not fit 64 bits raise an error.
 """
 
 from __future__ import annotations
@@ -37,7 +37,10 @@ PIVOTS, TREE, PAGE, FAN, BLOCK = 1024, 4096, 192, 12, 128
 
 def integers(vectors: list) -> np.ndarray:
     """floor(64 * x) of vectors of one length, as int64 (exact: x is a double, 64 a power of two)."""
-    return np.floor(np.array(vectors, np.float64) * SCALE).astype(np.int64)
+    real = np.floor(np.array(vectors, np.float64) * SCALE)
+    if real.size and float(np.abs(real).max()) ** 2 * real.shape[-1] >= 2.0**62:
+        raise ValueError("components are too large: an integer inner product may not fit 64 bits")
+    return real.astype(np.int64)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,7 +96,7 @@ def search(tree: tuple, queries: np.ndarray, own: np.ndarray, k: int, floor: np.
     nodes, vectors, ids = tree
     q = queries.astype(np.float64)
     size = np.sqrt((q * q).sum(1))
-    slack = 1e-9 * (1 + size)
+    slack = 1e-9 * (1 + size * (1 + float(np.sqrt((nodes[0][0] ** 2).sum())) + nodes[0][1]))  # for rounding, by the sizes of both
     floor = floor.astype(np.float64).copy()
     scores = [np.empty(0, np.int64) for _ in q]
     found = [np.empty(0, np.int64) for _ in q]
@@ -181,8 +184,9 @@ def top_k(vectors: DataFrame, queries, k: int = TOP, seed: int = 29) -> DataFram
         v = np.array([np.frombuffer(b, np.int64) for b in f["v"]])
         return pd.DataFrame({"dim": [f["dim"].iloc[0]], "cell": [f["cell"].iloc[0]], "chunk": [f["chunk"].iloc[0]], "tree": [build(v, f["vec_id"].to_numpy())]})
 
-    trees = cut(at.join(F.broadcast(cells.select("dim", "cell", "n")), ["dim", "cell"]).withColumn("chunk", chunk).select("vec_id", "dim", "cell", "chunk", "v").groupBy("dim", "cell", "chunk").applyInPandas(loaded, "dim int, cell int, chunk int, tree binary"))
-    asks = at.where("asks").select("vec_id", "dim", "cell", "v")
+    at = at.join(F.broadcast(cells.select("dim", "cell", "n")), ["dim", "cell"]).withColumn("chunk", chunk)  # at most PIVOTS cells, and one per length
+    trees = cut(at.select("vec_id", "dim", "cell", "chunk", "v").groupBy("dim", "cell", "chunk").applyInPandas(loaded, "dim int, cell int, chunk int, tree binary"))
+    asks = at.where("asks").select("vec_id", "dim", "cell", "chunk", "v")
     first = _ask(asks.withColumn("floor", F.lit(float("-inf"))), trees, reach, pivots, k, home=True)
     first = cut(first)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -203,13 +207,14 @@ def _ask(asks: DataFrame, trees: DataFrame, reach: dict, pivots: dict, k: int, h
                     v = np.array([np.frombuffer(a, np.int64) for a in b["v"]])
                     size = np.sqrt((v.astype(np.float64) ** 2).sum(1))
                     near = v.astype(np.float64) @ pivots[int(dim)].T
+                    sizes = np.sqrt((pivots[int(dim)] ** 2).sum(1))
                     out = []
                     for cell in range(near.shape[1]):
                         if (int(dim), cell) not in reach:
                             continue
                         radius, chunks = reach[int(dim), cell]
                         own = b["cell"].to_numpy() == cell
-                        some = own if home else ~own & (near[:, cell] + size * radius + 1e-9 * (1 + size) >= b["floor"].to_numpy())
+                        some = own if home else ~own & (near[:, cell] + size * radius + 1e-9 * (1 + size * (1 + sizes[cell] + radius)) >= b["floor"].to_numpy())
                         if some.any():
                             body = pickle.dumps((v[some], b["vec_id"].to_numpy()[some], b["floor"].to_numpy()[some]), protocol=5)
                             out += [(int(dim), cell, c, body) for c in range(chunks)]
@@ -229,5 +234,5 @@ def _ask(asks: DataFrame, trees: DataFrame, reach: dict, pivots: dict, k: int, h
                     cols[2] += s.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    blocks = asks.repartition("dim", "cell").mapInPandas(routed, "dim int, cell int, chunk int, asked binary")
+    blocks = asks.repartition("dim", "cell", "chunk").drop("chunk").mapInPandas(routed, "dim int, cell int, chunk int, asked binary")
     return trees.join(blocks, ["dim", "cell", "chunk"]).select("tree", "asked").mapInArrow(answered, "query_id long, vec_id long, score long")

@@ -2,7 +2,8 @@
 
 Each source's documents are laid end to end in hashed order and cut into blocks of a fixed number of words. A source's
 target (its weight's share of all words, at most `max_repeats` times its own size, excess reshared by weight) fixes how
-many blocks it gives: its slots. Their counts per output shard are drawn from a multinomial; slot j of a source takes
+many blocks it gives: its slots. Output shards have a fixed number of slots (the last one what is left); for one shard after
+the other the counts of the sources are drawn from a multinomial by the slots each has left. Slot j of a source takes
 block perm_e(j mod n), where e = j div n counts whole passes over the source's n blocks and perm_e is a keyed
 pseudorandom permutation (a Feistel network with cycle walking). Slots and blocks meet in an equi-join on (source,
 block index). The last slot of a source is trimmed, so its words meet its target exactly.
@@ -18,39 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted, small_batches, text_bytes, word_spans
 
 BLOCK_WORDS, SHARD_BLOCKS, MAX_REPEATS, SEED = 256, 4096, 3, 41
 WEIGHTS = (1, 2, 3)
-#: Sources, a small table by nature, are weighed on the driver; more than this many are refused, not cut off.
-MAX_SOURCES = 100_000
+#: Shards whose counts are drawn together, after those of all such groups.
+GROUP = 256
 _FAN = 128  # of the two-level prefix sums
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def capped_targets(sizes: list[int], weights: list[float], max_repeats: float = MAX_REPEATS) -> list[float]:
-    """Share sum(sizes) by weight; whoever would exceed max_repeats times its size stops there and the excess is reshared."""
-    total, caps = float(sum(sizes)), [max_repeats * s for s in sizes]
-    target, free = [0.0] * len(sizes), list(range(len(sizes)))
-    rest = total
-    while free and rest > 0:
-        share = rest / sum(weights[i] for i in free)
-        over = [i for i in free if weights[i] * share > caps[i]]
-        if not over:
-            for i in free:
-                target[i] = weights[i] * share
-            break
-        for i in over:
-            target[i] = float(caps[i])
-            rest -= caps[i]
-        free = [i for i in free if i not in set(over)]
-    return target
-
-
 def _feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
     """A keyed permutation of range(n), or its inverse, elementwise, by cycle walking over the next even power of two."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
@@ -131,50 +114,81 @@ def _laid_out(sized: DataFrame) -> DataFrame:
     return inner.join(offsets, ["source_no", "b1", "b2"]).withColumn("place", F.col("base") + F.col("inner")).drop("b1", "b2", "base", "inner")
 
 
-def numbered_rows(docs: DataFrame) -> DataFrame:
-    """Numbers rows by place in the scan: the same on every evaluation of a table scan or checkpoint, which `docs` has to be."""
-    return docs.withColumn("row_no", F.monotonically_increasing_id())
-
-
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces).
+def weighed(sized: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """(source, source_no, source_size, target) of every source: all sizes shared by weight, none above max_repeats times its own.
 
-    documents: doc_id, size, source_size, target, taken, one row per row of `docs`.
-    pieces: row_no, doc_id, source_no, shard, slot, turn, first_word, n_words: which words of which row the mix holds,
-    where, and in which pass over the source.
+    Targets are min(weight * level, cap) at the one level where they add up to all sizes; that level follows from running
+    sums over the sources in order of cap / weight. Only rows of one per source are sorted in one task.
     """
-    spark = docs.sparkSession
-    sized = numbered_rows(docs).select("row_no", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = cut(sized)
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = sorted(totals, key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    sizes = [r["n"] for r in totals]
-    targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], max_repeats)
-    plan = []
-    for no, (r, size, target) in enumerate(zip(totals, sizes, targets, strict=True)):
-        slots, last = plan_slots(min(round(target), max_repeats * size), size, block, no, seed)
-        plan.append((no, r["source"], size, target, -(-size // block), slots, last))
-    sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, blocks long, slots long, last_words long")
-    by_source = F.broadcast(sources)  # at most MAX_SOURCES rows
-    numbered = sized.join(by_source.select("source_no", "source", "source_size", "target", "blocks"), sized["source"].eqNullSafe(sources["source"])).select("row_no", "doc_id", "size", "source_no", "source_size", "target")
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    no = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    per = per.withColumn("source_no", no).withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("source_no") % len(weights) + 1))
+    per = per.withColumn("cap", F.col("source_size").cast("double") * max_repeats).withColumn("ratio", F.col("cap") / F.col("weight"))
+    by = Window.orderBy("ratio", "source_no")
+    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = per.withColumn("level", (F.sum("source_size").over(every) - before) / rest)
+    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every), F.lit(float("inf")))
+    return per.withColumn("least", level).select("source", "source_no", "source_size", F.least(F.col("weight") * F.col("least"), "cap").alias("target"))
+
+
+def dealt(slots: np.ndarray, lengths: list[int], rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Counts per source for one length after the other: multinomial by what each source has left, and never more than that."""
+    left = slots.copy()
+    for length in lengths:
+        counts = np.zeros_like(left)
+        while (want := min(length, int(left.sum())) - int(counts.sum())) > 0:
+            rest = left - counts
+            counts = np.minimum(left, counts + rng.multinomial(want, rest / rest.sum()))
+        left -= counts
+        yield counts
+
+
+def _mix(sized: DataFrame, block: int, shard_blocks: int, weights: tuple, max_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """`mix`, from (row_no, doc_id, source, size); row numbers have to be the same on every reading."""
+
+    def planned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [plan_slots(min(round(t), max_repeats * n), n, block, no, seed) for no, n, t in zip(frame["source_no"].tolist(), frame["source_size"].tolist(), frame["target"].tolist(), strict=True)]
+            frame["blocks"] = -(-frame["source_size"] // block)
+            frame["slots"], frame["last_words"] = [r[0] for r in rows], [r[1] for r in rows]
+            yield frame
+
+    sources = weighed(sized, weights, max_repeats)
+    sources = cut(sources.mapInPandas(planned, "source string, source_no int, source_size long, target double, blocks long, slots long, last_words long"))
+    numbered = sized.join(sources.select(F.col("source").alias("of"), "source_no", "source_size", "target"), sized["source"].eqNullSafe(F.col("of"))).select("row_no", "doc_id", "size", "source_no", "source_size", "target")
     placed = _laid_out(numbered)
     parts = placed.where("size > 0").select(
         "row_no", "doc_id", "source_no", "size", "place", F.explode(F.sequence(F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("size") - 1) / block))).alias("index")
     )
     parts = parts.withColumn("lo", F.greatest(F.lit(0), F.col("index") * block - F.col("place"))).withColumn("hi", F.least(F.col("size"), (F.col("index") + 1) * block - F.col("place")))
     parts = parts.withColumn("at", F.col("place") + F.col("lo") - F.col("index") * block)
-    shards = max(1, -(-sum(p[5] for p in plan) // shard_blocks))
+    total = int(sources.agg(F.sum("slots")).first()[0] or 0)
+
+    def lengths(begin: int, end: int, size: int) -> list[int]:
+        """Slots of the shards, or groups of shards, of `size` slots each from `begin` on; `end` ends the last one."""
+        return [min(size, end - at) for at in range(begin, end, size)]
 
     def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for no, n in zip(frame["source_no"], frame["slots"], strict=True):
-                counts = np.random.default_rng([seed, int(no)]).multinomial(int(n), np.full(shards, 1.0 / shards))
-                ends = np.cumsum(counts)
-                for lo in range(0, shards, 100_000):
-                    c = counts[lo : lo + 100_000]
-                    yield pd.DataFrame({"source_no": no, "shard": np.arange(lo, lo + c.size), "first": ends[lo : lo + c.size] - c, "n": c})
+        """Counts of each group of shards, and of each shard within its group."""
+        rows = pd.concat([*frames, pd.DataFrame({"source_no": [], "slots": []}, dtype="int64")]).sort_values("source_no")
+        no, slots = rows["source_no"].to_numpy(np.int64), rows["slots"].to_numpy(np.int64)
+        first = np.zeros_like(slots)
+        for g, counts in enumerate(dealt(slots, lengths(0, int(slots.sum()), GROUP * shard_blocks), np.random.default_rng([seed, 1]))):
+            some = counts > 0
+            yield pd.DataFrame({"group": g, "source_no": no[some], "first": first[some], "n": counts[some]})
+            first = first + counts
+
+    def drawn_within(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source_no")
+        g, no, first, n = int(rows["group"].iloc[0]), rows["source_no"].to_numpy(), rows["first"].to_numpy().copy(), rows["n"].to_numpy()
+        out = []
+        for k, counts in enumerate(dealt(n, lengths(0, int(n.sum()), shard_blocks), np.random.default_rng([seed, 2, g]))):
+            some = counts > 0
+            out.append(pd.DataFrame({"source_no": no[some], "shard": g * GROUP + k, "first": first[some], "n": counts[some]}))
+            first += counts
+        return pd.concat(out)
 
     def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -184,12 +198,15 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLO
             frame["index"] = out
             yield frame
 
-    counts = sources.where("slots > 0").select("source_no", "slots").repartition("source_no").mapInPandas(drawn, "source_no int, shard long, first long, n long")
-    slots = counts.where("n > 0").select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    slots = slots.repartition("shard", "source_no").join(by_source.select("source_no", "blocks", F.col("slots").alias("of"), "last_words"), "source_no")
+    counts = sources.where("slots > 0").select("source_no", "slots").coalesce(1).mapInPandas(drawn, "group long, source_no int, first long, n long")  # a row per source
+    counts = counts.groupBy("group").applyInPandas(drawn_within, "source_no int, shard long, first long, n long")
+    slots = counts.select("source_no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    slots = slots.repartition("shard", "source_no").join(sources.select("source_no", "blocks", F.col("slots").alias("of"), "last_words"), "source_no")
     slots = slots.withColumn("cap", F.when(F.col("slot") == F.col("of") - 1, F.col("last_words")).otherwise(F.lit(block)))
     slots = slots.select("source_no", "shard", "slot", "blocks", "cap").mapInPandas(mapped, "source_no int, shard long, slot long, blocks long, cap long, index long")
     slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("int")).drop("blocks")
+    if not total:
+        slots = slots.where("false")
     pieces = parts.join(slots, ["source_no", "index"]).withColumn("n_words", F.least(F.col("hi") - F.col("lo"), F.col("cap") - F.col("at"))).where("n_words > 0")
     pieces = pieces.select("row_no", "doc_id", "source_no", "shard", "slot", "turn", F.col("lo").alias("first_word"), "n_words")
     taken = pieces.groupBy("row_no").agg(F.sum("n_words").alias("taken"))
@@ -197,16 +214,53 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLO
     return documents, pieces
 
 
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(documents, pieces).
+
+    documents: doc_id, size, source_size, target, taken, one row per row of `docs`.
+    pieces: row_no, doc_id, source_no, shard, slot, turn, first_word, n_words: which words of which row the mix holds,
+    where, and in which pass over the source. row_no numbers the rows as they were read, once.
+    """
+    sized = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    return _mix(cut(sized), block, shard_blocks, weights, max_repeats, seed)
+
+
+def taken_words(body: np.ndarray, first: np.ndarray, n: np.ndarray) -> bytes:
+    """The words of a text (bytes) in the ranges given, in order, each with the white space before it but for the first; of a
+    text taken whole, all of it."""
+    starts, ends = word_spans(body, np.zeros(1, np.int64))
+    if int(n.sum()) == starts.size:
+        return body.tobytes()
+    before = np.append(0, ends[:-1])
+    out = b"".join(body[before[a] : ends[a + k - 1]].tobytes() for a, k in zip(first.tolist(), n.tolist(), strict=True))
+    return out.lstrip(b" \t\n\x0b\x0c\r")
+
+
 def mixed_texts(docs: DataFrame) -> DataFrame:
-    """`docs` as the mix holds them: one row per row and pass that takes words of it, `text` cut to those words.
+    """`docs` as the mix holds them: one row per row and pass that takes words of it, `text` cut to those words (`taken_words`).
 
-    Words keep the white space before them, but for the first; a text taken whole stays as it is.
+    Rows are numbered and written once, and read from there; all columns pass through, whatever their names.
     """
-    _, pieces = mix(docs)
+    small_batches(docs.sparkSession)
+    names = docs.columns
+    at = names.index("text")
+    row = F.struct(*((F.col(quoted(c)).cast("string") if c == "text" else F.col(quoted(c))).alias(f"c{i}") for i, c in enumerate(names)))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_no"), row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")))
+    sized = cut(rows.select("row_no", "doc_id", "source", word_count(F.col(f"row.c{at}")).alias("size")))
+    _, pieces = _mix(sized, BLOCK_WORDS, SHARD_BLOCKS, WEIGHTS, MAX_REPEATS, SEED)
     took = pieces.groupBy("row_no", "turn").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("took"))
-    words = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    taken = F.flatten(F.transform("took", lambda t: F.slice("words", (t["first_word"] + 1).cast("int"), t["n_words"].cast("int"))))
-    whole = F.aggregate("took", F.lit(0).cast("long"), lambda a, t: a + t["n_words"]) == F.size("words")
-    rows = numbered_rows(docs).join(took, "row_no").withColumn("words", words)
-    text = F.when(whole, F.col("text")).otherwise(F.regexp_replace(F.array_join(taken, ""), "^[\\x20\\x09-\\x0D]+", ""))
-    return rows.withColumn("text", text).select(*docs.columns)
+    both = rows.select("row_no", "row").join(took, "row_no").select("row.*", "took")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, body = text_bytes(batch.column(at))
+            pairs = batch.column(len(names))
+            first, n = (pairs.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            ends = np.append(0, np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False)))
+            texts = [taken_words(body[offsets[i] : offsets[i + 1]], first[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]]) for i in range(batch.num_rows)]
+            new = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(names))], [f"c{i}" for i in range(len(names))])
+
+    kinds = ", ".join(f"c{i} {both.schema[i].dataType.simpleString()}" for i in range(len(names)))
+    out = both.mapInArrow(lambda b: freed(taken(b)), kinds)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -13,6 +13,7 @@ tokenised whole; only the open sequence's pieces are held.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,10 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freed, small_batches
+
 BLOCK = 1024
 DIMENSIONS, BITS, BUCKETS = 4, 12, 1 << 11
-#: Distinct space-delimited words whose ids a task remembers at most.
-REMEMBERED = 400_000
+#: Distinct space-delimited words whose ids a task remembers at most, and their characters.
+REMEMBERED, SHORT = 100_000, 32
+#: Bytes of texts to aim at in a range of the curve.
+RANGE_BYTES = 64 << 20
 
 #: A space before other white space: the pre-tokeniser may then join what a split at spaces parts.
 _UNEVEN = re.compile(r" \s")
@@ -38,21 +43,29 @@ class Encoder:
     """Ids of a whole text under the byte-level BPE, as little-endian unsigned 32-bit integers.
 
     The vocabulary is read as ranks; a text whose spaces all stand before a non-space splits into ' word' pieces exactly where the
-    vocabulary's pre-tokeniser splits too, so ids of words can be remembered. Other texts are encoded directly.
+    vocabulary's pre-tokeniser splits too, so ids of words can be remembered. Other texts are encoded directly. The strings
+    of `special` tokens part a text; each is its one id.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = special
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.known: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.special and any(t in text for t in self.special):
+            return b"".join(np.array([self.special[t]], "<u4").tobytes() if t in self.special else self.plain(t) for t in self.parts.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if text[0].isspace() or text[-1].isspace() or _UNEVEN.search(text):
@@ -65,7 +78,9 @@ class Encoder:
         for word in words:
             ids = known.get(word)
             if ids is None:
-                ids = known[word] = self.direct(" " + word)
+                ids = self.direct(" " + word)
+                if len(word) <= SHORT:
+                    known[word] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -73,7 +88,9 @@ class Encoder:
 def default_encoder() -> Encoder:
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special)
 
 
 def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -186,6 +203,12 @@ def pack(docs: DataFrame, block: int = BLOCK, with_ids: bool = True, encoder=def
         if rows:
             yield batch()
 
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("curve_key", F.pandas_udf(curve_keys, "long")("text"))
-    ranged = placed.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
-    return ranged.select("doc_id", "text").mapInArrow(packed, _schema(with_ids))
+    small_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # repeated rows differ in their place in the scan, so they spread over ranges too
+    placed = own.withColumn("place", F.monotonically_increasing_id()).withColumn("curve_key", F.pandas_udf(curve_keys, "long")("text"))
+    along = ("curve_key", "doc_id", "place")
+    ranges = -(-int(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+    fixed = (ranges,) if ranges > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    ranged = placed.repartitionByRange(*fixed, *along).sortWithinPartitions(*along)
+    return ranged.select("doc_id", "text").mapInArrow(lambda b: freed(packed(b)), _schema(with_ids))

@@ -11,7 +11,6 @@ from .helpers import awkward, empty
 
 def _round_trip(docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs).toPandas()
     rows = docs.select("doc_id", "text").toPandas()
     want = sorted((-1 if np.isnan(d) else int(d), tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])) for d, t in zip(rows.doc_id.astype(float), rows.text, strict=True))
@@ -46,12 +45,21 @@ def test_defined_cases(spark):
 
 def test_encoder_equals_tokenizer_on_odd_spacing():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encode = packing.default_encoder()
     for text in ["a b", " a", "a ", "a  b", "a \n b", "a\n b", "a\n\n \nb", "don't we 'll 's", "1 2  3", "x  y", "  z", "<|endoftext|> a", "a\tb \t c", "é 'é", "\n", " ", "a !b ?? c"]:
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_equals_tokenizer_on_any_text():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.default_encoder()
+    rng = np.random.default_rng(2)
+    pieces = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "\t", "a", "the", "Zürich", "12", "'s", "!", "\u00a0", "\u3042", "\U0001f600", "x" * 40]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, rng.integers(0, 9)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_hilbert_neighbours():
     side = np.array([(x, y) for x in range(16) for y in range(16)])
     key = packing.hilbert_index(side, bits=4)

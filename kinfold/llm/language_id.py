@@ -17,17 +17,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, freed, map_texts, small_batches
 
 DIMENSIONS = 1 << 13
 SEGMENT = 1 << 20
-#: Bounds of the training sample: rows of each language, and languages.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 600, 200
+#: Bound of the training sample: rows of each language (twice as many at most). The model grows by 130 kB a language.
+SAMPLE_PER_LANGUAGE = 600
 CENTROIDS = 4
 #: A centroid's floor is this share of the cosine that all but one in a thousand of its sample rows reach.
 REJECT_SHARE = 0.5
@@ -107,13 +106,14 @@ def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "lang", "at", "n"])
 
 
-def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, seed: int = 11) -> Model:
-    """Learn from (doc_id, text, lang); at most about `per_language` rows of each of `max_languages` languages are used.
+def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 11) -> Model:
+    """Learn from (doc_id, text, lang); at most about `per_language` rows of each language are used.
 
     Only hashed n-gram counts of the bounded sample reach the driver.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike("\\p{L}"))
-    sample, _ = bounded_sample(rows, "lang", per_language, max_languages, seed)
+    sample, _ = bounded_sample(rows, "lang", per_language, seed)
     got = sample.mapInArrow(_sparse_counts, "doc_id long, lang string, at binary, n binary").toPandas()
     got = got.sort_values(["lang", "doc_id"], kind="stable")
     if got.empty:
@@ -141,25 +141,21 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_langua
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row of `docs`; the model (a few centroids) is the only broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            out = [m.predict(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())],
-                ["doc_id", "lang_pred", "score", "rejected"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_told(shared.value, batch.column(1))], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: freed(scored(b)), SCHEMA)
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with a column `language`: struct<lang_pred, score, rejected>; every column and row passes through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _told(model: Model, texts: pa.Array) -> list[pa.Array]:
+    out = [model.predict(text) for text in texts.to_pylist()]
+    return [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
 
-    def told(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("language", F.pandas_udf(told, SCHEMA.removeprefix("doc_id long, "))(F.col("text").cast("string")))
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with lang_pred, score and rejected; every row passes through, and every column but one of such a name."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_texts(docs, lambda texts: _told(shared.value, texts), SCHEMA.removeprefix("doc_id long, "))

@@ -2,12 +2,13 @@
 
 Learned filters of WIDTH bytes slide over the whole text; their responses are max-pooled over overlapping chunks
 that cover it, rectified, averaged and maximised over the chunks, and combined by a small dense layer into one
-probability. The network is trained here, by Adam, on evenly spaced chunks of a bounded sample of labelled rows;
-scoring reads every byte, in bounded segments.
+probability. The network is trained here, by Adam, on the whole texts of a bounded sample of labelled rows; training
+and scoring read every byte, in bounded segments.
 
 Defined cases: null or empty text -> the network's output for a text without chunks; texts shorter than a filter are
-padded with zero bytes; no labelled rows -> score 0.5; repeated rows are scored once per row; null labels are not
-learned from; further columns are ignored; an empty table gives an empty result.
+padded with zero bytes; no labelled rows -> score 0.5; repeated rows are scored once per row; null labels, contradicting
+labels of one doc_id and rows without doc_id are not learned from; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import freed, labelled_texts, small_batches
 
-#: Bounds of the sample: rows of each class, and chunks taken from each (evenly over the whole text).
-SAMPLE_PER_CLASS, TRAIN_CHUNKS = 1200, 6
+#: Bound of the sample: rows of each class (twice as many at most), whose whole texts are learned from.
+SAMPLE_PER_CLASS = 600
 WIDTH, FILTERS, HIDDEN = 4, 20, 16
 #: Filter positions of a chunk; chunks overlap by half.
 CHUNK, STEP = 256, 128
 SEGMENT = 1 << 18
+#: Chunks whose filter responses are held at once in training.
+TRAINED_AT_ONCE = 512
 
 SCHEMA = "doc_id long, score double"
 
@@ -62,6 +65,20 @@ class Network:
         c = np.maximum(np.maximum(h[:-1], h[1:]) if len(h) > 1 else h, -self.bias) + self.bias
         return np.concatenate([c.mean(0), c.max(0)])
 
+    def strongest(self, chunks: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk and filter: the place of its strongest response among the first `held`, and that response."""
+        n, where, top = CHUNK, [], []
+        for lo in range(0, len(chunks), TRAINED_AT_ONCE):
+            x = chunks[lo : lo + TRAINED_AT_ONCE]
+            r = self.table[0][x[:, :n]]
+            for j in range(1, WIDTH):
+                r += self.table[j][x[:, j : j + n]]
+            for i in np.flatnonzero(held[lo : lo + TRAINED_AT_ONCE] < n).tolist():
+                r[i, held[lo + i] :] = -np.inf
+            where.append(r.argmax(1))
+            top.append(np.take_along_axis(r, where[-1][:, None, :], 1)[:, 0] + self.bias)
+        return np.concatenate(where), np.concatenate(top)
+
     def head(self, f: np.ndarray) -> np.ndarray:
         return np.maximum(f @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
@@ -70,8 +87,8 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(chunks: list[np.ndarray], labels: np.ndarray, rounds: int = 5, seed: int = 5) -> Network:
-    """Adam on log loss; chunks[i]: (up to TRAIN_CHUNKS) x (CHUNK + WIDTH - 1) bytes of row i."""
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 5, seed: int = 5) -> Network:
+    """Adam on log loss over whole texts."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(f32), np.zeros(FILTERS, f32), rng.normal(0, 0.3, (2 * FILTERS, HIDDEN)).astype(f32), np.zeros(HIDDEN, f32), rng.normal(0, 0.3, HIDDEN).astype(f32), 0.0)
@@ -79,19 +96,14 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, rounds: int = 5, seed: i
     v = [np.zeros_like(p) for p in net.params()] + [0.0]
     step, size = 0, 32
     for round_ in range(rounds):
-        order = rng.permutation(len(chunks))
+        order = rng.permutation(len(texts))
         for lo in range(0, len(order), size):
             rows = order[lo : lo + size]
-            x = np.concatenate([chunks[i] for i in rows])
-            counts = np.array([len(chunks[i]) for i in rows])
+            chunks, held = zip(*(chunked(texts[i]) for i in rows), strict=True)
+            x, counts = np.concatenate(chunks), np.array([len(c) for c in chunks])
             at = np.concatenate([[0], np.cumsum(counts)[:-1]])
             owner = np.repeat(np.arange(len(rows)), counts)
-            n = x.shape[1] - WIDTH + 1
-            r = net.table[0][x[:, :n]]
-            for j in range(1, WIDTH):
-                r += net.table[j][x[:, j : j + n]]
-            where = r.argmax(1)  # chunk x filter
-            top = np.take_along_axis(r, where[:, None, :], 1)[:, 0] + net.bias
+            where, top = net.strongest(x, np.concatenate(held))
             act = np.maximum(top, 0)
             mean = np.add.reduceat(act, at) / counts[:, None]
             best = np.maximum.reduceat(act, at)
@@ -128,32 +140,24 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, rounds: int = 5, seed: i
     return net
 
 
-def spaced_chunks(text: str | None) -> bytes:
-    """Up to TRAIN_CHUNKS chunks, evenly over the whole text, each CHUNK + WIDTH - 1 bytes (a short text repeats its last chunk's place)."""
-    data = text.encode("utf-8", "replace") if text else b""
-    size = CHUNK + WIDTH - 1
-    if len(data) < size:
-        return data + bytes(size - len(data))
-    places = np.unique(np.linspace(0, len(data) - size, TRAIN_CHUNKS).astype(int))
-    return b"".join(data[p : p + size] for p in places.tolist())
-
-
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spaced_chunks(t) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], ["doc_id", "chunks", "label"])
+def chunked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of a text, rows of CHUNK + WIDTH - 1 bytes, STEP bytes apart; and how many filter positions of each are in the text."""
+    data += bytes(max(0, WIDTH - len(data)))
+    positions = len(data) - WIDTH + 1
+    n, size = max(1, -(-positions // STEP) - 1), CHUNK + WIDTH - 1
+    padded = np.zeros((n - 1) * STEP + size, np.uint8)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    return padded[np.arange(n)[:, None] * STEP + np.arange(size)], np.minimum(CHUNK, positions - np.arange(n) * STEP)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 23) -> Network | None:
-    """Train on the texts of `docs` that `labels` (doc_id, label 0/1) names: at most about `per_class` rows of each class; only their chunks reach the driver."""
-    chosen, counted = labelled_sample(labels, per_class, seed)
-    small = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = small.select("doc_id", "text", "label").mapInArrow(_chunked, "doc_id long, chunks binary, label int").toPandas()
-    if got.empty:
+    """Train on the texts of `docs` that `labels` (doc_id, label 0/1) names: about `per_class` rows of each class, which reach the driver."""
+    sample, counted = labelled_texts(docs, labels, per_class, seed)
+    got = sorted((r["doc_id"], r["label"], r["text"]) for r in sample.collect())
+    if not got:
         return None
-    got = got.sort_values(["doc_id", "label", "chunks"], kind="stable")
-    size = CHUNK + WIDTH - 1
-    y = got["label"].to_numpy().astype(np.float32)
-    net = train([np.frombuffer(c, np.uint8).reshape(-1, size) for c in got["chunks"]], y)
+    y = np.array([label for _, label, _ in got], np.float32)
+    net = train([text.encode("utf-8", "replace") for *_, text in got], y)
     n1, n0 = max(float(y.sum()), 1.0), max(float((1 - y).sum()), 1.0)
     net.prior = float(np.log(max(counted.get(1, 0), 1) / max(counted.get(0, 0), 1)) - np.log(n1 / n0))
     return net
@@ -161,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, s
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, score) of every row; the network (under 100 kB) is the only broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +174,4 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             out = [m.score(t) if m else 0.5 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: freed(scored(b)), SCHEMA)

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, jaccard_join, language_id, line_dedup, mixing, packing, quality, secret_scan, topk_search, toxicity
 from .common import crc_mod, table
 
 
+def _held_out(modulus: int, held: int) -> Column:
+    """False for a row without doc_id, which is learned from by nobody."""
+    return F.coalesce(crc_mod("doc_id", modulus) == held, F.lit(False)).alias("held_out")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(crc_mod("doc_id", 4) != 2))
     out = language_id.predict(docs, model)
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", _held_out(4, 2), "lang_pred", "score", "rejected")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = quality.fit(docs, _labels(spark, sf_dir, "quality", 3, 1))
     out = quality.predict(docs, net)
-    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, _labels(spark, sf_dir, "toxic", 4, 2))
     out = toxicity.predict(docs, index)
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "terms")
+    return out.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "terms")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,9 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's `spark.checkpoint.dir`, or one of our own only where it is unset."""
+    """The folder all executors share: the session's `spark.checkpoint.dir`; where it is unset, one of our own in local mode only."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _OWN_DIR
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a shared folder")
+        folder = _OWN_DIR
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps; no component is ever gathered in one task."""
+"""Connected components by alternating large-star and small-star steps.
+
+Rows are pairs of ids throughout; what a star's centre needs of its rows, their minimum, is aggregated before it moves.
+The rows of a large star meet that minimum in a join by their centre, which adaptive execution splits where it is skewed.
+"""
 
 from __future__ import annotations
 

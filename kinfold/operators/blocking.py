@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,11 +161,65 @@ def tfidf_vectors(texts: DataFrame, fit_on: Column, max_features: int = 300_000,
     return weighed.join(norm, "id").select("id", "group", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+#: Rows of a block of queries and of a tile of the pool; rows of either that are multiplied at once.
+BLOCK, TILE, QUERIES, ROWS = 2048, 8192, 256, 512
+
+
+def _dense(columns: np.ndarray, grams: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """Rows over the sorted `columns`; other grams count for nothing."""
+    out = np.zeros((len(grams), columns.size))
+    owner = np.repeat(np.arange(len(grams)), [g.size for g in grams])
+    every, w = np.concatenate(grams), np.concatenate(weights)
+    at = np.searchsorted(columns, every)
+    known = columns[np.minimum(at, columns.size - 1)] == every
+    out[owner[known], at[known]] = w[known]
+    return out
+
+
+def _best(sims: np.ndarray, ids: np.ndarray, top: int, threshold: float) -> list[np.ndarray]:
+    """Of each row, the columns of its `top` best values above the threshold, by value to nine places, then id."""
+    out = []
+    for row in sims:
+        at = np.flatnonzero(row > threshold)
+        if at.size > top:
+            at = at[row[at] >= np.partition(row[at], at.size - top)[at.size - top] - 1e-8]
+        out.append(at[np.lexsort((ids[at], -np.round(row[at], 9)))][:top])
+    return out
+
+
 def topk_neighbours(vectors: DataFrame, top: int = 30, threshold: float = 0.2) -> DataFrame:
-    """(s1_id, cand_id, sim): per row of group 1, its best rows of group 2 by cosine above the threshold; ties by id."""
-    q, x = vectors.where("group = 1"), vectors.where("group = 2")
-    sims = q.select("gram", F.col("id").alias("s1_id"), F.col("w").alias("a")).join(x.select("gram", F.col("id").alias("cand_id"), F.col("w").alias("b")), "gram")
-    sims = sims.groupBy("s1_id", "cand_id").agg(F.sum(F.col("a") * F.col("b")).alias("sim")).where(F.col("sim") > threshold)
+    """(s1_id, cand_id, sim): per row of group 1, its best rows of group 2 by cosine above the threshold; ties by id.
+
+    Exact: a vector is held once per row, blocks of queries meet tiles of the pool, and only the best of a tile leave it.
+    """
+    rows = vectors.groupBy("id", "group").agg(F.collect_list(F.xxhash64("gram")).alias("g"), F.collect_list("w").alias("w"))
+    n = {r["group"]: r["n"] for r in rows.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    blocks, tiles = -(-n.get(1, 0) // BLOCK), -(-n.get(2, 0) // TILE)
+    part = lambda k: F.pmod(F.xxhash64("id"), F.lit(max(k, 1))).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)))
+    q = rows.where("group = 1").select(part(blocks).alias("block"), every(tiles).alias("tile"), "group", "id", "g", "w")
+    x = rows.where("group = 2").select(every(blocks).alias("block"), part(tiles).alias("tile"), "group", "id", "g", "w")
+
+    def multiplied(f: pd.DataFrame) -> pd.DataFrame:
+        queries, pool = f[f["group"] == 1].sort_values("id"), f[f["group"] == 2].sort_values("id")
+        out = []
+        for lo in range(0, len(queries), QUERIES):
+            some = queries.iloc[lo : lo + QUERIES]
+            columns = np.unique(np.concatenate(some["g"].to_list()))
+            a = _dense(columns, some["g"].to_list(), some["w"].to_list())
+            held: list[pd.DataFrame] = []
+            for at in range(0, len(pool), ROWS):
+                b = pool.iloc[at : at + ROWS]
+                ids = b["id"].to_numpy(object).astype(str)
+                sims = a @ _dense(columns, b["g"].to_list(), b["w"].to_list()).T
+                best = _best(sims, ids, top, threshold)
+                who = np.repeat(np.arange(len(some)), [k.size for k in best])
+                k = np.concatenate(best) if best else np.empty(0, int)
+                held.append(pd.DataFrame({"s1_id": some["id"].to_numpy()[who], "cand_id": ids[k], "sim": sims[who, k]}))
+            out += held
+        return pd.concat(out) if out else pd.DataFrame({"s1_id": [], "cand_id": [], "sim": []})
+
+    sims = q.unionByName(x).groupBy("block", "tile").applyInPandas(multiplied, "s1_id string, cand_id string, sim double")
     w = Window.partitionBy("s1_id").orderBy(F.desc(F.round("sim", 9)), "cand_id")
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 

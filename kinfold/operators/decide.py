@@ -54,13 +54,15 @@ def grid(spark, low: float, step: float, n: int, name: str = "t") -> DataFrame:
 
 def tune_threshold(universe: DataFrame, scored: DataFrame, truth: DataFrame, max_k: int = 12, prob: str = "prob") -> DataFrame:
     """(t, macro_f05, best) over thresholds 0.10 to 0.95 by 0.025, all in one aggregation; ties to the lowest."""
-    spark = universe.sparkSession
-    cells = F.broadcast(grid(spark, 0.10, 0.025, 35))
     hit = ranked(scored, prob).where((F.col("rank") <= max_k) if max_k else F.lit(True)).join(truth.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left")
-    each = hit.crossJoin(cells).where(F.col(prob) >= F.col("t")).groupBy("s1_id", "t").agg(F.count("hit").alias("tp"), F.count("*").alias("k"))
+    each = hit.groupBy("s1_id").agg(F.collect_list(F.struct(F.col(prob).alias("p"), F.coalesce("hit", F.lit(0)).alias("hit"))).alias("of"))
     n_true = universe.select("s1_id").distinct().join(truth.groupBy("s1_id").agg(F.countDistinct("cand_id").alias("n_true")), "s1_id", "left").fillna(0, ["n_true"])
-    all_ = n_true.crossJoin(cells).join(each, ["s1_id", "t"], "left").fillna(0, ["tp", "k"])
-    out = all_.groupBy("t").agg(F.avg(f05(F.col("tp"), F.col("k"), F.col("n_true"))).alias("macro_f05"))
+    # an entity's few probabilities stay in its row; only 35 partial means a task are shuffled
+    cells = F.explode(F.array(*(F.lit(round(0.10 + 0.025 * i, 3)) for i in range(35)))).alias("t")
+    all_ = n_true.join(each, "s1_id", "left").select("n_true", "of", cells)
+    kept = F.coalesce(F.filter("of", lambda x: x["p"] >= F.col("t")), F.expr("cast(array() as array<struct<p:double,hit:int>>)"))
+    tp, k = F.size(F.filter(kept, lambda x: x["hit"] == 1)), F.size(kept)
+    out = all_.groupBy("t").agg(F.avg(f05(tp, k, F.col("n_true"))).alias("macro_f05"))
     return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc(F.round("macro_f05", 9)), "t")) == 1)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +71,24 @@ def multiplier_sweep(df: DataFrame, truth: str, prediction: str, metric: str = "
     cells = F.broadcast(df.sparkSession.range(n).select(F.round(F.lit(low) + F.col("id") * ((high - low) / (n - 1)), 6).alias("multiplier")))
     t, p = F.col(truth).cast("double"), F.col(prediction).cast("double") * F.col("multiplier")
     return df.select(truth, prediction).crossJoin(cells).groupBy("multiplier").agg(REGRESSION[metric](t, p).alias(metric))
+
+
+def eval_hook(metric: str) -> Callable[[np.ndarray, np.ndarray], tuple[str, float, bool]]:
+    """(prediction, truth) -> (name, value, greater is better), as boosting libraries call it after a round."""
+
+    def smape(p: np.ndarray, t: np.ndarray) -> float:
+        half = (np.abs(t) + np.abs(p)) / 2
+        return float(100 * np.where(half == 0, 0.0, np.abs(p - t) / np.where(half == 0, 1.0, half)).mean())
+
+    values = {
+        "smape": smape,
+        "mape": lambda p, t: float(100 * np.abs((t - p)[t != 0] / t[t != 0]).mean()),
+        "rmsle": lambda p, t: float(np.sqrt(((np.log1p(np.maximum(p, 0)) - np.log1p(np.maximum(t, 0))) ** 2).mean())),
+        "rmse": lambda p, t: float(np.sqrt(((p - t) ** 2).mean())),
+        "mae": lambda p, t: float(np.abs(p - t).mean()),
+    }
+
+    def hook(prediction: np.ndarray, truth: np.ndarray) -> tuple[str, float, bool]:
+        return metric, values[metric](np.asarray(prediction, float), np.asarray(truth, float)), GREATER_IS_BETTER[metric]
+
+    return hook

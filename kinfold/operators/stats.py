@@ -34,9 +34,26 @@ def idf(records: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """(column, rows, nulls, null_pct, n_unique) of every column, in one aggregation."""
-    cells = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.countDistinct(c).alias("n_unique")) for c in df.columns]
-    return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.column", "x.rows", "x.nulls", F.round(100 * F.col("x.nulls") / F.greatest(F.col("x.rows"), F.lit(1)), 4).alias("null_pct"), "x.n_unique")
+    """(column, type, rows, nulls, null_pct, n_unique, bytes) of every column, in one aggregation; bytes: of the values as text."""
+    cells = [
+        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("rows"), F.count_if(F.col(f.name).isNull()).alias("nulls"), F.countDistinct(f.name).alias("n_unique"), F.coalesce(F.sum(F.octet_length(F.col(f.name).cast("string"))), F.lit(0)).alias("bytes"))
+        for f in df.schema
+    ]
+    each = df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return each.select("column", "type", "rows", "nulls", F.round(100 * F.col("nulls") / F.greatest(F.col("rows"), F.lit(1)), 4).alias("null_pct"), "n_unique", "bytes")
+
+
+def environment(spark) -> DataFrame:
+    """(check, ok, detail): whether what the engine needs is there. Each is tried on an executor where that matters."""
+    import importlib.util
+
+    rows = [("spark", int(spark.version.split(".")[0]) >= 4, spark.version)]
+    rows += [(name, importlib.util.find_spec(name) is not None, "") for name in ("numpy", "pandas", "pyarrow")]
+    n = spark.range(1000).mapInArrow(lambda batches: batches, "id long").count()
+    rows.append(("arrow round trip", n == 1000, str(n)))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    rows.append(("shared folder", folder is not None, folder or "spark.checkpoint.dir is not set"))
+    return spark.createDataFrame(rows, "check string, ok boolean, detail string")
 
 
 def describe_target(df: DataFrame, column: str) -> DataFrame:

@@ -42,9 +42,8 @@ def r6(c: str | Column, name: str | None = None, places: int = 6) -> Column:
     return x.alias(name) if name else x
 
 
-# the presets of the two record views: words of `part` are few, so its own words must be rarer and blocks smaller
-DOCS = B.Preset(max_block=50, n_rare=3, solo_df=20)
-PARTS = B.Preset(max_block=30, n_rare=3, solo_df=20)
+# the preset of both record views
+DOCS = PARTS = B.PRESETS["default"]
 _DOC = (A.DOC_RECORDS, A.NORMALIZED)
 _PART = (A.PART_RECORDS, A.NORMALIZED)
 _DOC_KEYS = (*_DOC, A.FIELD_TOKENS, A.keys_sql(DOCS.n_rare, DOCS.solo_df))
@@ -149,7 +148,13 @@ def q_idf(spark, sf):
     return stats.idf(_norm(spark, sf, "docs")).select("country", "token", r6("idf", "idf"))
 
 
-@query("SELECT 'doc_id' AS column, count(*) AS rows, count(*) - count(doc_id) AS nulls, round(100.0 * (count(*) - count(doc_id)) / greatest(count(*), 1), 4) AS null_pct, count(DISTINCT doc_id) AS n_unique FROM labels UNION ALL SELECT 'quality', count(*), count(*) - count(quality), round(100.0 * (count(*) - count(quality)) / greatest(count(*), 1), 4), count(DISTINCT quality) FROM labels UNION ALL SELECT 'toxic', count(*), count(*) - count(toxic), round(100.0 * (count(*) - count(toxic)) / greatest(count(*), 1), 4), count(DISTINCT toxic) FROM labels")
+def _profile_sql() -> str:
+    kinds = {"doc_id": "bigint", "quality": "int", "toxic": "int"}
+    arm = "SELECT '{0}' AS column, '{1}' AS type, count(*) AS rows, count(*) - count({0}) AS nulls, round(100.0 * (count(*) - count({0})) / greatest(count(*), 1), 4) AS null_pct, count(DISTINCT {0}) AS n_unique, CAST(coalesce(sum(strlen(CAST({0} AS VARCHAR))), 0) AS BIGINT) AS bytes FROM labels"
+    return " UNION ALL ".join(arm.format(c, k) for c, k in kinds.items())
+
+
+@query(_profile_sql())
 def q_profile(spark, sf):
     return stats.profile(A.table(spark, sf, "labels"))
 
@@ -255,7 +260,7 @@ def _tfidf_sql() -> str:
             "v AS (SELECT id, grp, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)",
             "sims AS (SELECT a.id AS s1_id, b.id AS cand_id, sum(a.w * b.w) AS sim FROM v a JOIN v b USING (gram) WHERE a.grp = 1 AND b.grp = 2 GROUP BY ALL HAVING sum(a.w * b.w) > 0.2)",
         )
-        + " SELECT s1_id, cand_id, round(sim, 6) + 0.0 AS sim FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(sim, 9) DESC, cand_id) AS r FROM sims) WHERE r <= 10"
+        + " SELECT s1_id, cand_id, round(sim, 6) + 0.0 AS sim FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(sim, 9) DESC, cand_id) AS r FROM sims) WHERE r <= 30"
     )
 
 
@@ -263,7 +268,7 @@ def _tfidf_sql() -> str:
 def q_tfidf_neighbours(spark, sf):
     n = _norm(spark, sf, "parts")
     texts = n.select(F.col("entity_id").alias("id"), F.when(F.col("source") == 1, 1).otherwise(2).alias("group"), F.concat_ws(" ", "name_n", "addr_n").alias("text"))
-    return B.topk_neighbours(B.tfidf_vectors(texts, F.col("group") == 2), top=10).select("s1_id", "cand_id", r6("sim", "sim"))
+    return B.topk_neighbours(B.tfidf_vectors(texts, F.col("group") == 2)).select("s1_id", "cand_id", r6("sim", "sim"))
 
 
 # ---------------------------------------------------------------- similarity and features
@@ -311,7 +316,7 @@ def q_structured_features(spark, sf):
 
 _OVERLAP = """
 words AS (
-  SELECT entity_id, f, token, coalesce(idf, 8.0) AS idf FROM (
+  SELECT entity_id, f, token, CAST(round(coalesce(idf, 8.0) * 1000000) AS BIGINT) AS idf FROM (
     SELECT entity_id, country, 'ad' AS f, unnest(list_distinct(list_filter(string_split(addr_n, ' '), lambda t: t <> ''))) AS token FROM norm
     UNION ALL SELECT entity_id, country, 'nm', unnest(list_distinct(list_filter(string_split(name_n, ' '), lambda t: t <> ''))) FROM norm
   ) LEFT JOIN idf USING (country, token)
@@ -319,11 +324,12 @@ words AS (
 ), com AS (
   SELECT s1_id, cand_id, sum(a.idf) FILTER (WHERE a.f = 'ad') AS ad, sum(a.idf) FILTER (WHERE a.f = 'nm') AS nm
   FROM cands JOIN words a ON a.entity_id = s1_id JOIN words b ON b.entity_id = cand_id AND b.f = a.f AND b.token = a.token GROUP BY ALL
-), ov AS (
-  SELECT c.s1_id, c.cand_id, c.source,
-    CASE WHEN abs(coalesce(x.ad, 0) + coalesce(y.ad, 0) - coalesce(com.ad, 0)) < 1e-12 THEN 0.0 ELSE coalesce(com.ad, 0) / (coalesce(x.ad, 0) + coalesce(y.ad, 0) - coalesce(com.ad, 0)) END AS ad_idf_ov,
-    CASE WHEN abs(coalesce(x.nm, 0) + coalesce(y.nm, 0) - coalesce(com.nm, 0)) < 1e-12 THEN 0.0 ELSE coalesce(com.nm, 0) / (coalesce(x.nm, 0) + coalesce(y.nm, 0) - coalesce(com.nm, 0)) END AS nm_idf_ov
+), sums AS (
+  SELECT c.s1_id, c.cand_id, c.source, CAST(coalesce(com.ad, 0) AS BIGINT) AS ad, CAST(coalesce(x.ad, 0) + coalesce(y.ad, 0) - coalesce(com.ad, 0) AS BIGINT) AS ad_all,
+    CAST(coalesce(com.nm, 0) AS BIGINT) AS nm, CAST(coalesce(x.nm, 0) + coalesce(y.nm, 0) - coalesce(com.nm, 0) AS BIGINT) AS nm_all
   FROM cands c LEFT JOIN com USING (s1_id, cand_id) LEFT JOIN tot x ON x.entity_id = c.s1_id LEFT JOIN tot y ON y.entity_id = c.cand_id
+), ov AS (
+  SELECT *, CASE WHEN ad_all = 0 THEN 0.0 ELSE ad / ad_all END AS ad_idf_ov, CASE WHEN nm_all = 0 THEN 0.0 ELSE nm / nm_all END AS nm_idf_ov FROM sums
 )"""
 
 
@@ -334,7 +340,7 @@ def q_idf_overlap(spark, sf):
 
 
 _WINDOWS = """
-based AS (SELECT s1_id, cand_id, source, round(ad_idf_ov + nm_idf_ov, 4) + 0.0 AS base FROM ov
+based AS (SELECT s1_id, cand_id, source, CASE WHEN ad_all = 0 THEN 0 ELSE CAST(floor(ad * 1000000 / ad_all) AS BIGINT) END + CASE WHEN nm_all = 0 THEN 0 ELSE CAST(floor(nm * 1000000 / nm_all) AS BIGINT) END AS base FROM ov
 ), win AS (
   SELECT *, count(*) OVER g AS grp_size, row_number() OVER (PARTITION BY s1_id, source ORDER BY base DESC, cand_id) AS rank, max(base) OVER g AS gmax, avg(base) OVER g AS gmean,
     coalesce(stddev_samp(base) OVER g, 0) AS gstd, nth_value(base, 2) OVER (PARTITION BY s1_id, source ORDER BY base DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second,
@@ -346,16 +352,17 @@ _WIN_OUT = ("s1_id", "cand_id", "grp_size", "rank", "ratio_to_best", "margin_to_
 
 @query(
     with_(*_DOC_CANDS, A.IDF, _OVERLAP, _WINDOWS)
-    + """ SELECT s1_id, cand_id, grp_size, CAST(rank AS INTEGER) AS rank, round(base / greatest(gmax, 1e-6), 4) + 0.0 AS ratio_to_best, round(gmax - base, 4) + 0.0 AS margin_to_best,
-    round(CASE WHEN gstd < 1e-9 THEN 0.0 ELSE (base - gmean) / greatest(gstd, 1e-6) END, 4) + 0.0 AS z_in_grp, round(gmax - coalesce(second, 0), 4) + 0.0 AS gap_to_second, cand_n_claim,
-    CAST(cand_rank AS INTEGER) AS cand_rank, round(base / greatest(cmax, 1e-6), 4) + 0.0 AS cand_ratio_best, round(cmax - base, 4) + 0.0 AS cand_margin, CAST(rank = 1 AND cand_rank = 1 AS INTEGER) AS mutual_best FROM win"""
+    + """ SELECT s1_id, cand_id, grp_size, CAST(rank AS INTEGER) AS rank, round(base / greatest(gmax, 1e-6), 6) + 0.0 AS ratio_to_best, round(gmax - base, 6) + 0.0 AS margin_to_best,
+    round(CASE WHEN gstd < 1e-9 THEN 0.0 ELSE (base - gmean) / greatest(gstd, 1e-6) END, 4) + 0.0 AS z_in_grp, round(gmax - coalesce(second, 0), 6) + 0.0 AS gap_to_second, cand_n_claim,
+    CAST(cand_rank AS INTEGER) AS cand_rank, round(base / greatest(cmax, 1e-6), 6) + 0.0 AS cand_ratio_best, round(cmax - base, 6) + 0.0 AS cand_margin, CAST(rank = 1 AND cand_rank = 1 AS INTEGER) AS mutual_best FROM win"""
 )
 def q_window_features(spark, sf):
+    """Windows over the two overlaps in whole millionths, so margins and gaps are whole numbers too."""
     n, c = _cands(spark, sf, "docs")
-    ov = X.idf_overlap(c, n, stats.idf(n)).join(c.select("s1_id", "cand_id", "source"), ["s1_id", "cand_id"])
-    w = X.group_windows(ov.withColumn("base", r6(F.col("ad_idf_ov") + F.col("nm_idf_ov"), places=4)))
+    ov = X.whole_overlap(c, n, stats.idf(n)).join(c.select("s1_id", "cand_id", "source"), ["s1_id", "cand_id"])
+    w = X.group_windows(ov.withColumn("base", F.col("base").cast("double")))
     whole = {"s1_id", "cand_id", "grp_size", "rank", "cand_n_claim", "cand_rank", "mutual_best"}
-    return w.select(*(F.col(k) if k in whole else r6(k, k, 4) for k in _WIN_OUT))
+    return w.select(*(F.col(k) if k in whole else r6(k, k, 4 if k == "z_in_grp" else 6) for k in _WIN_OUT))
 
 
 # ---------------------------------------------------------------- decisions
@@ -584,6 +591,30 @@ def q_negative_sampling(spark, sf):
     return folds.downsample_negatives(c, 2.0).select("s1_id", "cand_id", "source", "label")
 
 
+@query(f"SELECT event_id, round(5 + 495 * {_DRAW.format('event_id')}, 2) + 0.0 AS prediction FROM events")
+def q_random_prices(spark, sf):
+    return folds.random_prices(A.table(spark, sf, "events"), "event_id")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS place FROM events")
+def q_positions(spark, sf):
+    return folds.ranked_by(A.table(spark, sf, "events"), "value", "event_id").select("event_id", "place")
+
+
+@query(with_(*_DOC_CANDS, A.TRUTH, "texts AS (SELECT entity_id, business_name || ' | ' || business_address AS text FROM records)") + " SELECT c.s1_id, c.cand_id, a.text AS text1, b.text AS text2, CAST(truth.s1_id IS NOT NULL AS INTEGER) AS label FROM cands c JOIN texts a ON a.entity_id = c.s1_id JOIN texts b ON b.entity_id = c.cand_id LEFT JOIN truth ON truth.s1_id = c.s1_id AND truth.cand_id = c.cand_id")
+def q_labelled_pairs(spark, sf):
+    r = A.doc_records(spark, sf)
+    return K.labelled_pairs(_cands(spark, sf, "docs")[1], R.record_dictionary(r), A.doc_truth(spark, sf))
+
+
+@query(with_(*_SCORED) + " SELECT s1_id, cand_id FROM (SELECT *, CASE WHEN prob BETWEEN 0.05 AND 0.95 THEN 0.5 * prob + 0.5 * (nkeys / (nkeys + 1.0)) ELSE prob END AS p FROM scored) WHERE p >= 0.675 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, cand_id) <= 12")
+def q_blended_selection(spark, sf):
+    """Selection after blending: its threshold and cap, without the one-owner step."""
+    s = _scored(spark, sf)[1]
+    other = s.select("s1_id", "cand_id", (F.col("nkeys") / (F.col("nkeys") + 1.0)).alias("ce"))
+    return D.select_topk_threshold(D.band_blend(s, other), 0.675, 12).select("s1_id", "cand_id")
+
+
 @query(with_(_REG) + " SELECT event_id, round((3 * t + p) / 4, 6) + 0.0 AS value FROM reg")
 def q_blend(spark, sf):
     e = _regression(spark, sf)

@@ -77,3 +77,14 @@ def test_expected_f05_by_enumeration():
         values = [value(p, k) for k in range(len(p) + 1)]
         assert values[S.expected_f05_k(p)] == pytest.approx(max(values))
     assert [S.expected_f05_k(p) for p in ([], [1.0], [0.0])] == [0, 1, 0]
+
+
+def test_names_of_other_scripts(spark):
+    # fixed values: names and how they are spelt
+    names = {
+        "दिल्ली": "dillii", "मुंबई": "munbii", "भारत": "bhaart", "கோவை": "koovai", "Москва": "Moskva", "Шоссе Энтузиастов": "Shosse Entuziastov", "Жуков": "Zhukov", "Ёлка": "Iolka",
+        "Αθήνα": "Athena", "Θεσσαλονίκη": "Thessalonike", "서울": "seoul", "부산": "busan", "한국": "hangug", "とうきょう": "toukiyou", "カメラ": "kamera", "محمد": "mhmd", "Zürich": "Zurich", "Œuvre": "OEuvre",
+        "plain": "plain", "१२३": "123",
+    }
+    got = spark.createDataFrame(list(names.items()), "x string, want string").select("x", N.romanise(F.col("x")).alias("got"), "want").collect()
+    assert [(r.x, r.got) for r in got] == [(r.x, r.want) for r in got]

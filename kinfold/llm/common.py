@@ -101,11 +101,11 @@ def map_texts(docs: DataFrame, compute: Callable[[pa.Array], list[pa.Array]], ad
     small_batches(docs.sparkSession)
     names, new = docs.columns, [c.split()[0] for c in added.split(", ")]
     own = docs.select([F.col(quoted(c)).cast("string").alias(f"c{i}") if c == "text" else F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
-    at = names.index("text")
+    at, outs = names.index("text"), [*(f"c{i}" for i in range(len(names))), *new]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(at))], [*own.columns, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(at))], outs)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
     out = own.mapInArrow(lambda b: freed(mapped(b)), f"{schema}, {added}")

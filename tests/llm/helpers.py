@@ -1,6 +1,9 @@
 """Small document tables with the awkward cases every operator must take."""
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label string"
+#: Names that operators use themselves.
+CLASHING = ("text_key", "dropped_lines", "row_no", "words", "took", "turn", "language", "id", "key", "kind", "row", "edits")
+DOCS += "".join(f", {c} string" for c in CLASHING)
 
 
 def awkward(spark, n=40):
@@ -22,8 +25,13 @@ def awkward(spark, n=40):
     ]
     for i in range(11, 11 + n):
         rows.append((i, " ".join(f"{w}{i}" if k % 3 else w for k, w in enumerate(base.split())) + f"\nline {i} of the text here\nall rights are reserved here", ("en", "fr", "de")[i % 3], "abc"[i % 3], 10, float(i), "z"))
-    return spark.createDataFrame(rows, DOCS)
+    return spark.createDataFrame([(*r, *(f"own {c}" for c in CLASHING)) for r in rows], DOCS)
 
 
 def empty(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def untouched(out):
+    """Whether columns with clashing names came through as they were."""
+    return all({r[0] for r in out.select(c).distinct().collect()} <= {f"own {c}"} for c in CLASHING if c in out.columns)

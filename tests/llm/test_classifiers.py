@@ -63,3 +63,37 @@ def test_defined_cases(spark, index):
     got = toxicity.predict(spark.createDataFrame([(1, "you worthless idiot clown"), (2, "")], "doc_id long, text string"), index).orderBy("doc_id").collect()
     assert got[0].score > 0.3 and got[0].neighbours and "worthless" in got[0].terms
     assert got[1].score < 0.3 and not got[1].neighbours
+
+
+def test_convolution_equals_brute_force():
+    rng = np.random.default_rng(4)
+    f32 = np.float32
+    net = quality.Network(rng.normal(0, 1, (quality.WIDTH, 256, quality.FILTERS)).astype(f32), rng.normal(0, 1, quality.FILTERS).astype(f32), rng.normal(0, 1, (2 * quality.FILTERS, quality.HIDDEN)).astype(f32), rng.normal(0, 1, quality.HIDDEN).astype(f32), rng.normal(0, 1, quality.HIDDEN).astype(f32), 0.3)
+    for size in (1, 3, 4, 100, 128, 131, 132, 259, 260, 700, 3000):
+        data = rng.integers(1, 256, size).astype(np.uint8).tobytes()
+        padded = data + bytes(max(0, quality.WIDTH - len(data)))
+        n = len(padded) - quality.WIDTH + 1
+        response = np.array([[sum(float(net.table[j][padded[i + j]][f]) for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for i in range(n)])
+        begins = range(0, max(1, -(-n // quality.STEP) - 1) * quality.STEP, quality.STEP)
+        chunks = np.array([np.maximum(response[b : b + quality.CHUNK].max(0) + net.bias, 0) for b in begins])
+        want = np.concatenate([chunks.mean(0), chunks.max(0)])
+        assert np.allclose(net.pooled(data), want, atol=1e-3)
+        parts, held = quality.chunked(data)
+        where, top = net.strongest(parts, held)
+        assert np.allclose(np.maximum(top, 0), chunks, atol=1e-3) and (where < held[:, None]).all()
+        p = 1 / (1 + np.exp(-(np.maximum(want @ net.w1 + net.b1, 0) @ net.w2 + net.b2)))
+        assert 1 / (1 + np.exp(-float(net.head(net.pooled(data))))) == pytest.approx(p, abs=1e-3)
+
+
+def test_vote_and_calibration():
+    index = toxicity.Index({}, np.empty(0), frozenset(), np.arange(4), np.array([1.0, 0, 1, 0]), *[np.empty(0)] * 6)
+    assert index.vote(np.array([0, 1]), np.array([0.8, 0.4])) == pytest.approx(0.64 / (0.64 + 0.16 + 0.02))
+    assert index.vote(np.empty(0, int), np.empty(0)) == 0
+    rng = np.random.default_rng(0)
+    x = rng.random(200)
+    y = (rng.random(200) < x).astype(float)
+    knots, levels = toxicity._isotonic(x, y, np.ones(200))
+    assert (np.diff(knots) > 0).all() and (np.diff(levels) >= 0).all()
+    # the fit of the pools is the least-squares one: no pool can be split with a larger mean first
+    owner = np.abs(x[:, None] - knots[None, :]).argmin(1)
+    assert abs((levels[owner] - y).mean()) < 0.1

@@ -3,10 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from kinfold.llm import line_dedup, queries
 
-from .helpers import awkward, empty
+from .helpers import CLASHING, awkward, empty, untouched
 
 
 def test_recurring_lines_go_but_stay_once(spark, sf_small):
@@ -46,7 +48,10 @@ def test_defined_cases(spark):
     assert out.count() == docs.count()
     assert got[1].text is None and got[1].n_lines is None and got[2].text == ""
     assert "reserved" in got[11].text and "reserved" not in got[12].text
-    assert line_dedup.dedup(empty(spark)).count() == 0
+    assert untouched(out) and set(CLASHING) < set(out.columns)
+    both = line_dedup.clean(docs.withColumn("n_lines", F.lit("mine")))
+    assert both.columns == [*docs.columns, "n_lines", "n_dropped", "n_cut"] and both.count() == docs.count() and untouched(both)
+    assert line_dedup.dedup(empty(spark)).count() == line_dedup.clean(empty(spark)).count() == 0
 
 
 def _prose(seed, n):
@@ -111,3 +116,48 @@ def test_blocks_lose_no_template():
         lines[:, : line_dedup.DEPTH] = 7
         masked = [x.astype("<u8").tobytes() for x in lines]
         assert line_dedup.templates(masked, scan=0) == line_dedup.templates(masked, scan=10**9)
+
+
+def test_a_template_counts_documents_not_variants(spark):
+    line = "alpha beta gamma {} epsilon zeta eta theta iota kappa"
+    rows = [(1, "\n".join(line.format(w) for w in ("one", "two", "three"))), (2, line.format("four")), (2, line.format("four"))]
+    rows += [(10 + i, f"delta beta gamma {w} epsilon zeta eta theta iota kappa") for i, w in enumerate(("one", "two", "three", "four"))]
+    got = {(r.doc_id, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {*rows[:4], (11, ""), (12, ""), (13, "")}
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(11)
+    pieces = [_prose(200 + i, rng.choice((20, 49, 50, 51, 70, 120))) for i in range(12)]
+    rows = [(i, " ".join(rng.choice(pieces) if rng.random() < 0.6 else _prose(1000 + 50 * i + k, rng.randint(1, 60)) for k in range(rng.randint(1, 6)))) for i in range(40)]
+    first = {}
+    for i, text in rows:
+        w = text.split()
+        for k in range(len(w) - line_dedup.PASSAGE + 1):
+            first.setdefault(tuple(w[k : k + line_dedup.PASSAGE]), i)
+    for r in line_dedup.drop_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        w, gone = rows[r.doc_id][1].split(), set()
+        for k in range(len(w) - line_dedup.PASSAGE + 1):
+            if first[tuple(w[k : k + line_dedup.PASSAGE])] < r.doc_id:
+                gone |= set(range(k, k + line_dedup.PASSAGE))
+        assert r.text.split() == [x for k, x in enumerate(w) if k not in gone] and r.n_cut == len(gone)
+
+
+def test_hot_marks_lose_nothing(spark, monkeypatch):
+    passage = _prose(40, 60)
+    rows = [(i, f"{_prose(3000 + i, 12)} {passage} {_prose(4000 + i, 12)}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in line_dedup.drop_passages(docs).collect())
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    assert sorted(tuple(r) for r in line_dedup.drop_passages(docs).collect()) == want
+    assert sum(passage in t for _, t, _ in want) == 1
+
+
+def test_very_long_texts_are_parsed_in_segments(spark, monkeypatch):
+    from kinfold.llm import common
+
+    text = "\n".join(_prose(5000 + i, 30) for i in range(60)) + " " + "y" * 3000 + " end"
+    whole = next(common.words_of(pa.array([text])))[2]
+    monkeypatch.setattr(common, "CHUNK", 500)
+    parts = next(common.words_of(pa.array([text])))[2]
+    assert all((getattr(whole, f) == getattr(parts, f)).all() for f in ("hashes", "bounds", "line", "digit"))

@@ -4,7 +4,7 @@ import numpy as np
 
 from kinfold.llm import mixing
 
-from .helpers import awkward, empty
+from .helpers import awkward, empty, untouched
 
 
 def capped_targets(sizes: list[int], weights: list[float], max_repeats: float = 3) -> list[float]:
@@ -64,7 +64,9 @@ def test_defined_cases(spark):
     _check(docs)
     out = mixing.mix(docs)[0]
     assert out.count() == docs.count()
-    assert mixing.mix(empty(spark))[0].count() == 0
+    texts = mixing.mixed_texts(docs)
+    assert texts.columns == docs.columns and untouched(texts)
+    assert mixing.mix(empty(spark))[0].count() == mixing.mixed_texts(empty(spark)).count() == 0
 
 
 def test_caps_and_permutations():

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -64,3 +65,54 @@ def test_secrets_after_names_and_in_paths(spark):
     got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     for k, head in enumerate(heads):
         assert sum(got[i] == f"random:{len(head)}:{len(head) + 40}" for i in range(k, 60, 6)) >= 7, head
+
+
+def _below(z):
+    return 1 / (1 + math.exp(-(z * 1.5976 + z**3 * 0.070566)))
+
+
+def _p_value(body):
+    """The battery, character by character; None where no encoding fits."""
+    for _, fits, alphabet, text_like in secret_scan.ENCODINGS:
+        if not re.match(fits, body):
+            continue
+        n, k = len(body), len(alphabet)
+        chi2 = sum(body.count(c) ** 2 for c in alphabet) * k / n - n
+        x = [alphabet.index(c) + 1 - (k + 1) / 2 for c in body]
+        runs = sum((a > 0) != (b > 0) for a, b in zip(x, x[1:], strict=False))
+        products = sum(a * b for a, b in zip(x, x[1:], strict=False))
+        z_runs, z_serial = (runs - (n - 1) / 2) / math.sqrt((n - 1) / 4), products / ((k * k - 1) / 12) / math.sqrt(n - 1)
+        if min(2 * _below(-abs(z_runs)), 2 * _below(-abs(z_serial))) < secret_scan.NOT_RANDOM:
+            return 1.0
+        return _below((chi2 - (k - 1) - n * text_like) / math.sqrt(2 * (k - 1) + n * 4 * text_like))
+    return None
+
+
+def test_random_spans_equal_brute_force(spark):
+    """The battery and the step-up rule over all candidates of a corpus, per band of length."""
+    rng = random.Random(12)
+    alnum = string.ascii_letters + string.digits
+    texts = []
+    for i in range(120):
+        kind = rng.choice(["key", "name", "hexes", "upper"])
+        n = rng.choice([20, 24, 31, 32, 40, 47, 48, 64])
+        body = {"key": lambda: "".join(rng.choice(alnum) for _ in range(n)), "name": lambda: ("thequickbrownfox%d" % i) * 4, "hexes": lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(n)), "upper": lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))}[kind]()
+        texts.append(f"line {i} has {body[:n] if kind != 'name' else body} in it")
+    found = []
+    for i, text in enumerate(texts):
+        base = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in brute(text)[2].split(",") if x]
+        for m in re.finditer(secret_scan.CANDIDATE, text):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, e in base):
+                body = m[0].rstrip("=")
+                p = _p_value(body)
+                if p is not None:
+                    found.append((i, m.start(), m.end(), sum(len(body) >= b for b in secret_scan.BANDS[1:]), min(secret_scan.BINS, math.floor(-math.log10(max(p, 1e-300)) * 10))))
+    want = {i: [] for i in range(len(texts))}
+    for band in range(len(secret_scan.BANDS)):
+        mine = [x for x in found if x[3] == band]
+        passed = [b for b in {x[4] for x in mine} if 10 ** (-b / 10) * len(mine) <= secret_scan.FALSE_DISCOVERY * sum(x[4] >= b for x in mine)]
+        for x in mine:
+            if passed and x[4] >= min(passed):
+                want[x[0]].append(f"random:{x[1]}:{x[2]}")
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("random")] for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert got == want and sum(map(len, want.values())) > 20

@@ -156,7 +156,7 @@ def expected_f05_k(p: list[float]) -> int:
     for k in range(1, n + 1):
         head = convolved(head, p[k - 1])
         value = sum(1.25 * t * a * b / (0.25 * (t + f) + k) for t, a in enumerate(head) if t for f, b in enumerate(rest[k]))
-        if value > best:
+        if value > best + 1e-12:
             best, best_k = value, k
     return best_k
 

@@ -419,7 +419,24 @@ def q_tune_threshold(spark, sf):
     return D.tune_threshold(_s1(n), s, A.doc_truth(spark, sf)).select("t", r6("macro_f05", "macro_f05"), "best")
 
 
-@query()
+# matches among the first k and among the rest are Poisson-binomial: lists of probabilities, one candidate more at a time
+_PB = "list_transform(generate_series(1, len(d) + 1), lambda i: coalesce(d[i], 0) * (1 - prob) + CASE WHEN i > 1 THEN d[i - 1] * prob ELSE 0 END)"
+_EXPECTED = f"""
+top AS (SELECT s1_id, cand_id, CAST(rank AS INTEGER) AS rank, prob FROM rk WHERE rank <= 25
+), size AS (SELECT s1_id, CAST(max(rank) AS INTEGER) AS n FROM top GROUP BY 1
+), head(s1_id, k, d) AS (
+  SELECT s1_id, 0, [CAST(1 AS DOUBLE)] FROM size UNION ALL
+  SELECT head.s1_id, k + 1, {_PB} FROM head JOIN top ON top.s1_id = head.s1_id AND rank = k + 1
+), tail(s1_id, k, d) AS (
+  SELECT s1_id, n, [CAST(1 AS DOUBLE)] FROM size UNION ALL
+  SELECT tail.s1_id, k - 1, {_PB} FROM tail JOIN top ON top.s1_id = tail.s1_id AND rank = k
+), worth AS (
+  SELECT s1_id, k, CASE WHEN k = 0 THEN b[1] ELSE list_sum(list_transform(generate_series(1, k), lambda t: list_sum(list_transform(generate_series(0, len(b) - 1), lambda f: 1.25 * t * a[t + 1] * b[f + 1] / (0.25 * (t + f) + k))))) END AS value
+  FROM (SELECT s1_id, k, head.d AS a, tail.d AS b FROM head JOIN tail USING (s1_id, k))
+), chosen AS (SELECT s1_id, CAST(k AS INTEGER) AS best_k FROM worth QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY round(value, 12) DESC, k) = 1)"""
+
+
+@query(with_(*_SCORED, _EXPECTED).replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT s1_id, cand_id, rank, best_k FROM top JOIN chosen USING (s1_id) WHERE rank <= best_k")
 def q_expected_f05(spark, sf):
     return D.select_expected_f05(_scored(spark, sf)[1]).select("s1_id", "cand_id", "rank", "best_k")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, small_batches, text_bytes, word_spans
+from .common import cut, freed, quoted, small_batches, text_bytes, word_spans
 
 BLOCK_WORDS, SHARD_BLOCKS, MAX_REPEATS, SEED = 256, 4096, 3, 41
 WEIGHTS = (1, 2, 3)
@@ -117,7 +117,8 @@ def _laid_out(sized: DataFrame) -> DataFrame:
 def weighed(sized: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_no, source_size, target) of every source: all sizes shared by weight, none above max_repeats times its own.
 
-    Targets are min(weight * level, cap) at the one level where they add up to all sizes; that level follows from running
+    Targets are min(weight * level, cap) at the one level where they add up to all sizes: the largest that stays within the
+    sources it is shared among, if those of smaller ratio cap / weight stop at their caps. It follows from running
     sums over the sources in order of cap / weight. Only rows of one per source are sorted in one task.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -129,7 +130,7 @@ def weighed(sized: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_R
     rest = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
     every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("level", (F.sum("source_size").over(every) - before) / rest)
-    level = F.coalesce(F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every), F.lit(float("inf")))
+    level = F.coalesce(F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every), F.lit(float("inf")))
     return per.withColumn("least", level).select("source", "source_no", "source_size", F.least(F.col("weight") * F.col("least"), "cap").alias("target"))
 
 

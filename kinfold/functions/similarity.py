@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Windows that `partial_many` holds at once.
+WINDOWS = 1 << 14
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit-parallel addition."""
     if not a or not b:
@@ -54,22 +59,65 @@ def token_set(a: str, b: str) -> float:
     return max(best, ratio(both, one), ratio(both, two)) if both else best
 
 
-@lru_cache(1 << 16)
 def partial(a: str, b: str) -> float:
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n, m = len(short), len(long)
-    if not n:
-        return 1.0 if not m else 0.0
-    best, chars = 0.0, set(short)
-    for begin in range(1 - n, m):
-        window = long[max(0, begin) : begin + n]
-        if window[-1] not in chars and window[0] not in chars:
-            continue  # a window with a foreign character at both ends is not better than its neighbour
-        if 2 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, ratio(short, window))
-            if best == 1.0:
-                break
-    return best
+    return float(partial_many([a], [b])[0])
+
+
+def partial_many(one: list[str], two: list[str]) -> np.ndarray:
+    """`partial` of each pair: all windows of many pairs at once, LCS by bit-parallel addition over words of 64 letters."""
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(one, two, strict=True)]
+    out = np.array([1.0 if not long else 0.0 if not short else -1.0 for short, long in pairs])
+    places: dict[tuple[str, str], list[int]] = {}
+    for i in np.flatnonzero(out < 0).tolist():
+        if pairs[i][0] in pairs[i][1]:
+            out[i] = 1.0
+        else:
+            places.setdefault(pairs[i], []).append(i)
+    left = sorted(places, key=lambda p: (len(p[0]), len(p[1])))
+    lo = 0
+    while lo < len(left):  # pairs of like lengths, so many windows
+        hi, windows = lo, 0
+        while hi < len(left) and (hi == lo or windows + len(left[hi][0]) + len(left[hi][1]) <= WINDOWS):
+            windows += len(left[hi][0]) + len(left[hi][1])
+            hi += 1
+        for pair, value in zip(left[lo:hi], _windowed(left[lo:hi]), strict=True):
+            out[places[pair]] = value
+        lo = hi
+    return out
+
+
+def _windowed(pairs: list[tuple[str, str]]) -> np.ndarray:
+    n, m = (np.array([len(p[i]) for p in pairs]) for i in range(2))
+    letters = {c: i + 1 for i, c in enumerate(sorted(set("".join(s for s, _ in pairs))))}  # 0: any other letter, or none
+    words, most = -(-int(n.max()) // 64), int(n.max())
+    masks = np.zeros((len(pairs), len(letters) + 1, words), np.uint64)
+    padded = np.zeros((len(pairs), int(m.max()) + 2 * most), np.int64)
+    for i, (short, long) in enumerate(pairs):
+        for k, c in enumerate(short):
+            masks[i, letters[c], k // 64] |= np.uint64(1 << (k % 64))
+        padded[i, most : most + len(long)] = [letters.get(c, 0) for c in long]
+    count = n + m - 1
+    owner = np.repeat(np.arange(len(pairs)), count)
+    begin = np.arange(owner.size) - np.repeat(np.cumsum(count) - count, count) + 1 - n[owner]  # of each window, before the string too
+    state = np.full((words, owner.size), np.iinfo(np.uint64).max, np.uint64)
+    for t in range(most):
+        c = np.where(t < n[owner], padded[owner, begin + t + most], 0)
+        mask, carry = masks[owner, c], np.zeros(owner.size, np.uint64)
+        for w in range(words):
+            hit = state[w] & mask[:, w]
+            total = state[w] + hit
+            over = total < state[w]
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            state[w] = total | (state[w] - hit)
+    common = np.zeros(owner.size, np.int64)
+    for w in range(words):
+        bits = np.clip(n[owner] - 64 * w, 0, 64)
+        full = np.where(bits == 64, np.iinfo(np.uint64).max, (np.uint64(1) << (bits % 64).astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
+        common += np.bitwise_count(~state[w] & full)
+    length = np.minimum(begin + n[owner], m[owner]) - np.maximum(begin, 0)
+    share = 2 * common / (n[owner] + length)
+    return np.maximum.reduceat(share, np.cumsum(count) - count)
 
 
 @lru_cache(1 << 16)
@@ -107,26 +155,27 @@ def string_features(n1: Column, a1: Column, n2: Column, a2: Column) -> Column:
     """struct of the twelve string features of a pair: one Arrow round trip for all of them."""
 
     def compute(n1: pd.Series, a1: pd.Series, n2: pd.Series, a2: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, p, y, q in zip(n1, a1, n2, a2, strict=True):
-            rows.append((*(f(x, y) for f in _FIVE), *(f(p, q) for f in _FIVE), partial(x, q), partial(y, p)))
-        return pd.DataFrame(rows, columns=list(FEATURES))
+        out = {}
+        for name, one, two in (("nm", n1, n2), ("ad", a1, a2)):
+            for short, f in _FOUR.items():
+                out[f"{name}_{short}"] = [f(x, y) for x, y in zip(one, two, strict=True)]
+            out[f"{name}_part"] = partial_many(list(one), list(two))
+        out["x_nm1_ad2"], out["x_nm2_ad1"] = partial_many(list(n1), list(a2)), partial_many(list(n2), list(a1))
+        return pd.DataFrame(out, columns=list(FEATURES), dtype="float64")
 
     return F.pandas_udf(compute, ", ".join(f"{f} double" for f in FEATURES))(n1, a1, n2, a2)
 
 
-_FIVE = (ratio, token_sort, token_set, partial, jaro_winkler)
+_FOUR = {"ratio": ratio, "tsort": token_sort, "tset": token_set, "jw": jaro_winkler}
 
 
 def blocking_score(n1: Column, a1: Column, n2: Column, a2: Column) -> Column:
     """0..100: 0.3 token-set of addresses, 0.2 of names, 0.2 of both joined, 0.3 partial of both joined."""
 
     def compute(n1: pd.Series, a1: pd.Series, n2: pd.Series, a2: pd.Series) -> pd.Series:
-        out = []
-        for x, p, y, q in zip(n1, a1, n2, a2, strict=True):
-            one, two = f"{x} {p}", f"{y} {q}"
-            out.append(100 * (0.3 * token_set(p, q) + 0.2 * token_set(x, y) + 0.2 * token_set(one, two) + 0.3 * partial(one, two)))
-        return pd.Series(out, dtype="float64")
+        one, two = ([f"{x} {y}" for x, y in zip(n, a, strict=True)] for n, a in ((n1, a1), (n2, a2)))
+        sets = [0.3 * token_set(p, q) + 0.2 * token_set(x, y) + 0.2 * token_set(o, t) for x, p, y, q, o, t in zip(n1, a1, n2, a2, one, two, strict=True)]
+        return pd.Series(100 * (np.array(sets, float) + 0.3 * partial_many(one, two)))
 
     return F.pandas_udf(compute, "double")(n1, a1, n2, a2)
 

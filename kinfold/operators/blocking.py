@@ -66,6 +66,11 @@ def make_keys(records: DataFrame, df: DataFrame, preset: Preset = PRESETS["defau
     return rows.select("entity_id", "source", "country", F.explode(F.array_distinct(families)).alias("key"))
 
 
+def hashed_keys(keys: DataFrame) -> DataFrame:
+    """Keys as 64-bit hashes of country and key: less to move; two keys in 2**64 may meet by chance."""
+    return keys.withColumn("key", F.xxhash64("country", "key"))
+
+
 def capped(keys: DataFrame, max_block: int) -> DataFrame:
     """Keys of S2 and S3 that at most `max_block` records of their country and source have."""
     pool = keys.where("source in (2, 3)")

@@ -204,6 +204,12 @@ def q_candidates_parts(spark, sf):
     return _cands(spark, sf, "parts")[1].select("s1_id", "cand_id", "source", "country", "nkeys")
 
 
+@query(with_(*_PART_CANDS) + " SELECT s1_id, cand_id, source, country, nkeys FROM cands")
+def q_candidates_hashed(spark, sf):
+    k = _keys(spark, sf, "parts")[1]
+    return B.candidates(B.hashed_keys(k), PARTS.max_block).select("s1_id", "cand_id", "source", "country", "nkeys")
+
+
 _TOPN = " SELECT s1_id, cand_id, nkeys FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, source ORDER BY nkeys DESC, cand_id) AS r FROM cands) WHERE r <= 5"
 
 
@@ -216,12 +222,12 @@ def q_candidates_topn(spark, sf):
 def _composite_sql() -> str:
     cols = {"house": "addr_house", "pin": "addr_pin", "name": "name_n", "digits": "addr_digits", "addr_tok1": "addr_tok1", "name_tok1": "name_tok1"}
     arms = [f"SELECT entity_id, source, country, '{'+'.join(d)}' AS definition, concat_ws('|', {', '.join(cols[p] for p in d)}) AS key FROM norm WHERE {' AND '.join(f'length({cols[p]}) > 0' for p in d)}" for d in B.KEY_DEFS]
-    return with_(*_PART, "k AS (" + " UNION ALL ".join(arms) + ")", "p AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY country, source, definition, key) AS n FROM k WHERE source IN (2, 3)) WHERE n <= 20)") + " SELECT DISTINCT k.definition, k.entity_id AS s1_id, p.entity_id AS cand_id, p.source FROM k JOIN p USING (country, definition, key) WHERE k.source = 1"
+    return with_(*_PART, "k AS (" + " UNION ALL ".join(arms) + ")", "p AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY country, source, definition, key) AS n FROM k WHERE source IN (2, 3)) WHERE n <= 200)") + " SELECT DISTINCT k.definition, k.entity_id AS s1_id, p.entity_id AS cand_id, p.source FROM k JOIN p USING (country, definition, key) WHERE k.source = 1"
 
 
 @query(_composite_sql())
 def q_composite_pairs(spark, sf):
-    return B.composite_pairs(_norm(spark, sf, "parts"), max_block=20)
+    return B.composite_pairs(_norm(spark, sf, "parts"))
 
 
 @query(with_(*_DOC_CANDS, A.TRUTH) + " SELECT count(cands.s1_id) AS found, count(*) AS n_truth, round(count(cands.s1_id) / greatest(1, count(*)), 6) + 0.0 AS recall FROM truth LEFT JOIN cands USING (s1_id, cand_id)")
@@ -284,13 +290,13 @@ def q_jaro_winkler(spark, sf):
 @query()
 def q_rescore_and_cut(spark, sf):
     n, c = _cands(spark, sf, "parts")
-    return B.rescore_and_cut(c, n, 10).select("s1_id", "cand_id", "nkeys", r6("blk_sim", "blk_sim"))
+    return B.rescore_and_cut(c, n).select("s1_id", "cand_id", "nkeys", r6("blk_sim", "blk_sim"))
 
 
 @query()
 def q_build_features(spark, sf):
     n, c = _cands(spark, sf, "parts")
-    return X.build_features(B.rescore_and_cut(c, n, 10), n, stats.idf(n))
+    return X.build_features(B.rescore_and_cut(c, n), n, stats.idf(n))
 
 
 _DIG = "list_distinct(list_filter(string_split({0}, '-'), lambda x: x <> ''))"
@@ -651,7 +657,7 @@ def q_pair_model(spark, sf):
     x = x.join(A.doc_truth(spark, sf).withColumn("label", F.lit(1)), ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
     names = ["nkeys", "dig_jac", "ad_len_ratio", "nm_len_ratio", "ad_idf_ov", "nm_idf_ov"]
     x = x.select("s1_id", "cand_id", "label", *(F.col(k).cast("double").alias(k) for k in names)).persist()
-    scored = ml.predict_pairs(ml.fit_pairs(x, names, trees=5, depth=3), x)
+    scored = ml.predict_pairs(ml.fit_pairs(x, names), x)
     return ml.calibrate(scored, "s1_id").select("s1_id", "cand_id", "label", "prob", "calibrated")
 
 

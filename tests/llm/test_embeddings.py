@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinfold.llm import embedding_dedup, topk_search
@@ -108,3 +109,11 @@ def test_near_dedup_on_the_table(spark):
     want = brute_links(plain(df))
     for r in embedding_dedup.dedup(df).collect():
         assert (r.n_links, r.component_id) == want[r.vec_id][0] and r.kept == (r.component_id == r.vec_id)
+
+
+def test_components_too_large_for_64_bits_raise(spark):
+    df = spark.createDataFrame([(0, [1e17, 1.0], 1, None), (1, [1e17, 2.0], 1, None)], VECTORS.replace("float", "double"))
+    with pytest.raises(Exception, match="too large"):
+        topk_search.top_k(df, F.col("vec_id") % 20 == 0).collect()
+    fine = spark.createDataFrame([(0, [1e6, -1e6], 1, None), (1, [1e6, 1e6], 1, None), (2, [1e6, -1e6 + 1], 1, None)], VECTORS.replace("float", "double"))
+    assert [(r.vec_id, r.score) for r in topk_search.top_k(fine, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(2, 4096 * (2 * 10**12 - 10**6)), (1, 0)]

@@ -346,7 +346,7 @@ def q_idf_overlap(spark, sf):
 
 
 _WINDOWS = """
-based AS (SELECT s1_id, cand_id, source, CASE WHEN ad_all = 0 THEN 0 ELSE CAST(floor(ad * 1000000 / ad_all) AS BIGINT) END + CASE WHEN nm_all = 0 THEN 0 ELSE CAST(floor(nm * 1000000 / nm_all) AS BIGINT) END AS base FROM ov
+based AS (SELECT s1_id, cand_id, source, CAST(CASE WHEN ad_all = 0 THEN 0 ELSE floor(ad * 1000000 / ad_all) END + CASE WHEN nm_all = 0 THEN 0 ELSE floor(nm * 1000000 / nm_all) END AS DOUBLE) AS base FROM ov
 ), win AS (
   SELECT *, count(*) OVER g AS grp_size, row_number() OVER (PARTITION BY s1_id, source ORDER BY base DESC, cand_id) AS rank, max(base) OVER g AS gmax, avg(base) OVER g AS gmean,
     coalesce(stddev_samp(base) OVER g, 0) AS gstd, nth_value(base, 2) OVER (PARTITION BY s1_id, source ORDER BY base DESC, cand_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second,

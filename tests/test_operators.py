@@ -138,3 +138,77 @@ def test_text_regression_gives_every_document_a_prediction(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").where("text is not null")
     got = [r.doc_id for r in linkage.queries()["text_regression"](spark, sf_small).collect()]
     assert sorted(got) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_discovery_shards_and_cache(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "train_source1.tsv").write_text("x\n")
+    (tmp_path / "c").mkdir()
+    assert records.discover(spark, [f"{tmp_path}/none*", f"{tmp_path}/*"]).endswith("/a")
+    assert records.discover(spark, [f"{tmp_path}/c"], default="d") == "d"
+    spark.range(5).repartition(2).write.parquet(f"{tmp_path}/shards")
+    assert records.read_shards(spark, f"{tmp_path}/shards").count() == 5
+    assert records.read_shards(spark, f"{tmp_path}/nowhere", f"{tmp_path}/shards").count() == 5 and records.read_shards(spark, f"{tmp_path}/nowhere") is None
+    (tmp_path / "t.csv").write_text('a,b\n1,"x, ""y"""\n300,z\n')
+    for _ in range(2):
+        t = records.load_cached(spark, f"{tmp_path}/t.csv")
+        assert {tuple(r) for r in t.collect()} == {(1, 'x, "y"'), (300, "z")} and t.schema["a"].dataType.simpleString() == "smallint"
+    assert not list(tmp_path.glob("*.part"))
+
+
+def test_images_are_converted_and_failures_kept(spark, tmp_path):
+    def fetch(url):
+        return (200, url.encode()) if "good" in url else (404, b"")
+
+    def convert(body):
+        if b"bad" in body:
+            raise ValueError("no image")
+        return b"J" + body
+
+    urls = spark.createDataFrame([("http://x/good1.png",), ("http://x/gone",), ("http://x/good-bad",), ("http://x/",)], "url string")
+    got = {r.url: (r.status, r.reason) for r in records.fetch_images(urls, str(tmp_path / "i"), fetch, pause=0.0, convert=convert).collect()}
+    assert got == {"http://x/good1.png": ("ok", ""), "http://x/gone": ("fail", "status 404"), "http://x/good-bad": ("fail", "not an image: no image"), "http://x/": ("skip", "no file name")}
+    assert (tmp_path / "i" / "good1.png.jpg").read_bytes() == b"Jhttp://x/good1.png"
+    plain = records.fetch_plainly(urls, str(tmp_path / "p"), fetch)
+    records.write_failures(plain, str(tmp_path / "failed"))
+    assert "".join(p.read_text() for p in (tmp_path / "failed").glob("*.csv")) == "http://x/gone\tstatus 404\n"
+    listing = spark.createDataFrame([("good1.png.jpg",)], "name string")
+    assert {r.url: r.path for r in records.attach_paths(urls, listing, "/i", resized=True).collect()}["http://x/good1.png"] == "/i/good1.png.jpg"
+
+
+def test_sinks_write(spark, tmp_path):
+    p = spark.createDataFrame([(2, 7.6), (1, 0.2)], "id long, price double")
+    told = sinks.write_validated(p, str(tmp_path / "out"), "id", "price", p, "gzip", clip_min=1.0, whole=True).first()
+    assert (told["min"], told["max"]) == (1.0, 8.0) and list((tmp_path / told["path"].rsplit("/", 1)[1]).glob("*.csv.gz"))
+    assert spark.read.csv(told["path"], header=True, inferSchema=True).orderBy("id").collect() == [(1, 1.0), (2, 8.0)]
+    pairs = spark.createDataFrame([("S1_1", "S2_1", "US", 2), ("S1_1", "S3_1", "IN", 3)], "s1_id string, cand_id string, country string, source int")
+    sinks.write_shards(pairs, str(tmp_path / "shards"))
+    assert (tmp_path / "shards" / "country=US" / "source=2").is_dir() and spark.read.parquet(str(tmp_path / "shards")).count() == 2
+    d = spark.createDataFrame([("S1_1", "one"), ("S2_1", "two"), ("S3_1", "three")], "entity_id string, text string")
+    assert {tuple(r)[2:] for r in sinks.labelled_pairs(pairs, d, pairs.where("source = 3")).collect()} == {("one", "two", 0), ("one", "three", 1)}
+    sinks.save_run(str(tmp_path / "run"), oof=p)
+    assert spark.read.parquet(str(tmp_path / "run" / "oof")).count() == 2
+
+
+def test_places_are_exact(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 1.0, 2.5, rng.random() * 9, -3.0])) for i in range(700)]
+    got = {r.id: r.place for r in folds.ranked_by(spark.createDataFrame(rows, "id long, v double").repartition(5), "v", "id").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert [got[i] for i, _ in want] == list(range(700))
+    assert folds.ranked_by(spark.createDataFrame([], "id long, v double"), "v", "id").count() == 0
+
+
+def test_hooks_and_stability():
+    import numpy as np
+
+    assert folds.unstable([1.0, 2.0]) and not folds.unstable([1.0, 1.1])
+    name, value, greater = metrics.eval_hook("smape")(np.array([120.0, 0.0]), np.array([100.0, 0.0]))
+    assert (name, greater) == ("smape", False) and value == pytest.approx(9.0909, abs=1e-3)
+
+
+def test_environment(spark):
+    from kinfold.operators import stats
+
+    assert {r.check for r in stats.environment(spark).where("ok").collect()} >= {"spark", "numpy", "arrow round trip"}

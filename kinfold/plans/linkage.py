@@ -358,17 +358,17 @@ _WIN_OUT = ("s1_id", "cand_id", "grp_size", "rank", "ratio_to_best", "margin_to_
 
 @query(
     with_(*_DOC_CANDS, A.IDF, _OVERLAP, _WINDOWS)
-    + """ SELECT s1_id, cand_id, grp_size, CAST(rank AS INTEGER) AS rank, round(base / greatest(gmax, 1e-6), 6) + 0.0 AS ratio_to_best, round(gmax - base, 6) + 0.0 AS margin_to_best,
+    + """ SELECT s1_id, cand_id, grp_size, CAST(rank AS INTEGER) AS rank, round(base / greatest(gmax, 1e-6), 8) + 0.0 AS ratio_to_best, round(gmax - base, 6) + 0.0 AS margin_to_best,
     round(CASE WHEN gstd < 1e-9 THEN 0.0 ELSE (base - gmean) / greatest(gstd, 1e-6) END, 4) + 0.0 AS z_in_grp, round(gmax - coalesce(second, 0), 6) + 0.0 AS gap_to_second, cand_n_claim,
-    CAST(cand_rank AS INTEGER) AS cand_rank, round(base / greatest(cmax, 1e-6), 6) + 0.0 AS cand_ratio_best, round(cmax - base, 6) + 0.0 AS cand_margin, CAST(rank = 1 AND cand_rank = 1 AS INTEGER) AS mutual_best FROM win"""
+    CAST(cand_rank AS INTEGER) AS cand_rank, round(base / greatest(cmax, 1e-6), 8) + 0.0 AS cand_ratio_best, round(cmax - base, 6) + 0.0 AS cand_margin, CAST(rank = 1 AND cand_rank = 1 AS INTEGER) AS mutual_best FROM win"""
 )
 def q_window_features(spark, sf):
-    """Windows over the two overlaps in whole millionths, so margins and gaps are whole numbers too."""
+    """Windows over the two overlaps in whole millionths: margins and gaps are whole numbers, ratios to a best of 2,000,000 need seven places."""
     n, c = _cands(spark, sf, "docs")
     ov = X.whole_overlap(c, n, stats.idf(n)).join(c.select("s1_id", "cand_id", "source"), ["s1_id", "cand_id"])
     w = X.group_windows(ov.withColumn("base", F.col("base").cast("double")))
     whole = {"s1_id", "cand_id", "grp_size", "rank", "cand_n_claim", "cand_rank", "mutual_best"}
-    return w.select(*(F.col(k) if k in whole else r6(k, k, 4 if k == "z_in_grp" else 6) for k in _WIN_OUT))
+    return w.select(*(F.col(k) if k in whole else r6(k, k, 4 if k == "z_in_grp" else 8) for k in _WIN_OUT))
 
 
 # ---------------------------------------------------------------- decisions

@@ -95,7 +95,7 @@ def _spelling(c: str) -> str:
         plain = unicodedata.normalize("NFD", c.lower())[0]
         sound = table.get(c.lower()) or table.get(plain)
         if sound is not None:
-            return sound.upper() if c != c.lower() else sound
+            return sound.capitalize() if c != c.lower() else sound
     name = unicodedata.name(c, "")
     if unicodedata.digit(c, None) is not None:
         return str(unicodedata.digit(c))

@@ -264,7 +264,7 @@ def test_texts_do_not_move_with_pairs(spark, sf_small):
         spark.catalog.clearCache()
 
 
-def test_grams_are_never_broadcast(spark):
-    texts = spark.createDataFrame([("a", 1, "blue steel"), ("b", 2, "blue steel rod"), ("c", 2, "blue rod")], "id string, group int, text string")
+def test_grams_are_never_broadcast(spark, sf_small):
+    texts = spark.read.parquet(f"{sf_small}/part.parquet").selectExpr("cast(p_partkey as string) as id", "1 + int(p_partkey % 2) as group", "p_name as text")
     plan = blocking.tfidf_vectors(texts, F.col("group") == 2)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin [gram" in plan
